@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from siftline.llm import credentials, invalid
+from siftline.llm import credentials, generated, invalid
 from siftline.session import read
 
 QUERIES = {
     "p1_found": lambda s, d: credentials.found(read(s, d, "chunks")),
     "p1_findings": lambda s, d: credentials.find(read(s, d, "chunks")),
     "p1_redacted": lambda s, d: credentials.redact(read(s, d, "chunks")),
+    "p2_found": lambda s, d: generated.found(read(s, d, "chunks")),
+    "p2_reasons": lambda s, d: generated.judged(read(s, d, "chunks")),
     "p3_found": lambda s, d: invalid.found(read(s, d, "chunks")),
     "p3_flags": lambda s, d: invalid.flags(read(s, d, "chunks")),
     "p3_rates": lambda s, d: invalid.rates(read(s, d, "chunks")),
