@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import credentials, generated, invalid
+from siftline.llm import credentials, documented, generated, invalid
 from siftline.session import read
 
 QUERIES = {
@@ -14,5 +14,7 @@ QUERIES = {
     "p3_found": lambda s, d: invalid.found(read(s, d, "chunks")),
     "p3_flags": lambda s, d: invalid.flags(read(s, d, "chunks")),
     "p3_rates": lambda s, d: invalid.rates(read(s, d, "chunks")),
+    "p6_found": lambda s, d: documented.found(read(s, d, "chunks")),
+    "p6_pairs": lambda s, d: documented.pairs(read(s, d, "chunks")),
 }
 SQL: dict[str, str] = {}
