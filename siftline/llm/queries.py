@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import credentials, documented, generated, invalid
+from siftline.llm import contamination, credentials, documented, generated, invalid, mixture, repetition, splitting
 from siftline.session import read
 
 QUERIES = {
@@ -14,7 +14,35 @@ QUERIES = {
     "p3_found": lambda s, d: invalid.found(read(s, d, "chunks")),
     "p3_flags": lambda s, d: invalid.flags(read(s, d, "chunks")),
     "p3_rates": lambda s, d: invalid.rates(read(s, d, "chunks")),
+    "p4_found": lambda s, d: splitting.found(read(s, d, "code_chunks")),
+    "p4_pieces": lambda s, d: splitting.pieces(read(s, d, "code_chunks")),
     "p6_found": lambda s, d: documented.found(read(s, d, "chunks")),
     "p6_pairs": lambda s, d: documented.pairs(read(s, d, "chunks")),
+    "p8_found": lambda s, d: contamination.found(read(s, d, "documents"), read(s, d, "eval_items")),
+    "p8_leaks": lambda s, d: contamination.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
+    "p9_found": lambda s, d: mixture.found(read(s, d, "documents"), read(s, d, "source_weights")),
+    "p9_drawn": lambda s, d: mixture.drawn(mixture.tokens(read(s, d, "documents")), read(s, d, "source_weights")),
+    "p9_shares": lambda s, d: mixture.shares(mixture.tokens(read(s, d, "documents")), read(s, d, "source_weights")),
+    "p10_found": lambda s, d: repetition.found(read(s, d, "documents")),
+    "p10_measures": lambda s, d: repetition.measure(read(s, d, "documents")),
+}
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+SQL: dict[str, str] = {
+    "p4_found": """
+        SELECT DISTINCT chunk_id FROM code_chunks
+        WHERE strlen(content) > 4 * CASE lower(trim(token_budget)) WHEN 'small' THEN 256 WHEN 'medium' THEN 512 WHEN 'large' THEN 1024
+              ELSE coalesce(nullif(try_cast(CASE WHEN regexp_full_match(trim(token_budget), '[0-9]{1,9}') THEN trim(token_budget) END AS INTEGER), 0), 512) END""",
+    "p8_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
+        ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p10_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        r AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)),
+        again AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(k) OVER (PARTITION BY doc_id, g) AS first FROM r) WHERE k > first),
+        marked AS (SELECT DISTINCT doc_id, k + j AS p FROM again, range(0, 8) AS t(j))
+        SELECT doc_id FROM d JOIN (SELECT doc_id, count(*) AS n FROM marked GROUP BY doc_id) USING (doc_id)
+        WHERE len(w) >= 40 AND n * 10 >= len(w) * 3""",
 }
-SQL: dict[str, str] = {}
