@@ -6,7 +6,7 @@ children.  Two trees are compared from the root: only children of nodes that dif
 and only entries in differing leaves are compared one by one.
 
 ``Store`` keeps entries and tree of the last successful run.  A run writes its output, entries and
-tree into one new version folder and then replaces the pointer to it in one rename, so after a crash
+tree into one new version folder and then replaces the pointer to it in one rename (one writer at a time), so after a crash
 at any point the next run sees either all of a run or nothing of it: nothing is skipped or repeated.
 
 Defined results: entries with a null key part are left out; a null digest is a state of its own;
@@ -42,8 +42,7 @@ def tree(entry_rows: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFram
     state = F.coalesce("digest", F.lit("\x00"))
     leaves = entry_rows.groupBy(F.col("leaf").alias("node")).agg(F.bit_xor(F.xxhash64(*keys, state)).alias("a"), F.bit_xor(F.xxhash64(state, F.lit(1), *keys)).alias("b"), F.count("*").alias("n"))
     # each leaf adds to its node on every level, so all levels come from one small aggregate
-    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.struct(k.alias("level"), F.shiftright("node", F.lit(0)).alias("leaf")))).alias("l")
-    up = leaves.select(levels, "a", "b", "n").select(F.col("l.level").alias("level"), F.expr(f"shiftright(l.leaf, {FANOUT_BITS} * ({depth} - l.level))").alias("node"), F.col("l.leaf").alias("leaf"), "a", "b", "n")
+    up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).selectExpr("level", f"shiftright(node, {FANOUT_BITS} * ({depth} - level)) AS node", "node AS leaf", "a", "b", "n")
     mixed = [F.bit_xor(F.xxhash64("leaf", c)).alias(c) for c in ("a", "b")]
     return up.groupBy("level", "node").agg(*mixed, F.sum("n").alias("n"))
 
@@ -159,6 +158,7 @@ class Store:
         out = fs.create(path(f"{at}/pointer"), True)
         out.write(bytearray(json.dumps({"version": name, "run": number}), "utf-8"))
         out.close()
-        if not fs.rename(path(f"{at}/pointer"), path(f"{self.folder}/current-{number}")):  # fails if another run was first
+        target = path(f"{self.folder}/current-{number}")
+        if fs.exists(target) or not fs.rename(path(f"{at}/pointer"), target):
             raise RuntimeError(f"run {number} was published by another process")
         return f"{at}/output"
