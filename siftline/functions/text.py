@@ -38,7 +38,7 @@ def chunk_id(path: Column | str, start: Column | str, end: Column | str) -> Colu
 def djb2(value: Column | str) -> Column:
     """h = 33 h + byte from 5381, modulo 2^64, as decimal(20,0)."""
     raw = F.hex(_c(value).cast("binary"))
-    codes = F.transform(F.sequence(F.lit(1), F.length(raw) / 2), lambda i: F.conv(F.substr(raw, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("decimal(38,0)"))
+    codes = F.transform(F.sequence(F.lit(1), (F.length(raw) / 2).cast("int")), lambda i: F.conv(F.substr(raw, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("decimal(38,0)"))
     codes = F.when(F.length(raw) > 0, codes).otherwise(F.array().cast("array<decimal(38,0)>"))
     wide = F.lit("18446744073709551616").cast("decimal(38,0)")
     folded = F.aggregate(codes, F.lit(5381).cast("decimal(38,0)"), lambda h, c: F.pmod((h * F.lit(33).cast("decimal(4,0)")).cast("decimal(38,0)") + c, wide).cast("decimal(38,0)"))

@@ -40,24 +40,28 @@ def similarity(d: Column) -> Column:
     return F.when(d >= 1, F.lit(0.0)).otherwise(1 - d)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row instead of once for each use in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalised(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float"))).otherwise(a)
+    return _let(F.struct(a.alias("a"), norm(a).alias("n")), lambda v: F.when(v["n"] > 0, F.transform(v["a"], lambda x: (x.cast("double") / v["n"]).cast("float"))).otherwise(v["a"]))
 
 
 def hash_embedding(text: Column, dim: int, prefix: str = "") -> Column:
     """A deterministic unit vector from the SHA-256 of the text, with a period of 14."""
-    h = F.sha2(F.concat(F.lit(prefix), text).cast("binary"), 256)
 
-    def value(i: int) -> Column:
+    def value(h: Column, i: int) -> Column:
         o = (2 * i) % 28
         little = F.concat(*[F.substring(h, 2 * (o + k) + 1, 2) for k in (3, 2, 1, 0)])
         n = F.conv(little, 16, 10).cast("long")
         return (F.when(n >= 2**31, n - 2**32).otherwise(n).cast("float") / F.lit(1e9).cast("float")).cast("float")
 
-    seeds = F.array(*[value(i) for i in range(14)])
-    return l2_normalised(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.element_at(seeds, (i % 14 + 1).cast("int"))))
+    digest = F.sha2(F.concat(F.lit(prefix), text).cast("binary"), 256)
+    seeds = _let(digest, lambda h: F.array(*[value(h, i) for i in range(14)]))
+    return l2_normalised(_let(seeds, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.element_at(s, (i % 14 + 1).cast("int")))))
 
 
 def hash_vector(text: str, dim: int, prefix: str = "") -> list[float]:
