@@ -23,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.session import cut
+
 FANOUT_BITS, DEPTH = 4, 3  # 16 children a node, 4096 leaves
 
 
@@ -49,21 +51,21 @@ def tree(entry_rows: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFram
 
 def differing_leaves(current: DataFrame, saved: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(leaf) of the leaves that differ, found by going down from the root."""
-    c, s = current.alias("c"), saved.alias("s")
+    nodes = current.select("level", "node", F.struct("a", "b", "n").alias("x"), F.lit(None).cast("struct<a:bigint,b:bigint,n:bigint>").alias("y"))
+    nodes = nodes.unionByName(saved.select("level", "node", F.lit(None).cast("struct<a:bigint,b:bigint,n:bigint>").alias("x"), F.struct("a", "b", "n").alias("y")))
     here = None
     for level in range(depth + 1):
-        x, y = c.filter(F.col("level") == level), s.filter(F.col("level") == level)
+        below = nodes.filter(F.col("level") == level).withColumn("up", F.expr(f"shiftright(node, {FANOUT_BITS})"))
         if here is not None:
-            up = F.expr(f"shiftright(node, {FANOUT_BITS})")
-            x, y = (t.withColumn("up", up).join(here, "up", "left_semi") for t in (x, y))
-        both = x.select("node", F.struct("a", "b", "n").alias("x")).join(y.select("node", F.struct("a", "b", "n").alias("y")), "node", "full_outer")
-        here = both.filter(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("node").alias("up"))
+            below = below.join(here, "up", "left_semi")
+        pairs = below.groupBy("node").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+        here = pairs.filter(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("node").alias("up"))
     return here.withColumnRenamed("up", "leaf")
 
 
 def changed(current: DataFrame, saved: DataFrame, keys: list[str], trees: tuple[DataFrame, DataFrame] | None = None, depth: int = DEPTH) -> DataFrame:
     """(keys..., digest, change) with change one of added, modified, removed."""
-    now, old = trees or (tree(current, keys, depth), tree(saved, keys, depth))
+    now, old = trees or (cut(tree(current, keys, depth)), cut(tree(saved, keys, depth)))  # a few thousand rows each
     leaves = differing_leaves(now, old, depth)
     x = current.join(leaves, "leaf", "left_semi").select(*keys, F.struct(F.col("digest")).alias("x"))
     y = saved.join(leaves, "leaf", "left_semi").select(*keys, F.struct(F.col("digest")).alias("y"))
@@ -133,7 +135,7 @@ class Store:
         old = self.saved()
         if old is None:
             return now.select(*self.keys, "digest", F.lit("added").alias("change"))
-        return changed(now, old[0], self.keys, (tree(now, self.keys, self.depth), old[1]), self.depth)
+        return changed(now, old[0], self.keys, (cut(tree(now, self.keys, self.depth)), old[1]), self.depth)
 
     def run(self, records: DataFrame, digest: str, process: Callable[[DataFrame], DataFrame]) -> str | None:
         """Process exactly the changed records and publish output, entries and tree together.

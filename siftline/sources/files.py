@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.languages import detect
@@ -10,17 +10,37 @@ from siftline.functions.text import sha16
 from siftline.operators import paths
 
 
+def _ignore_files(spark: SparkSession, root: str, depth: int = 10) -> list[tuple[str, str]]:
+    """(relative path, text) of ignore files down to a depth; Spark's own readers leave out names that begin with a dot."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for k in range(depth + 1):
+        for h in fs.globStatus(path(root.rstrip("/") + "/*" * k + "/.gitignore")) or []:
+            stream = fs.open(h.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            found.append((h.getPath().toUri().getPath()[len(root.rstrip("/")) + 1 :], text))
+    return found
+
+
+def _relative(root: str) -> Column:
+    return F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(root.rstrip('/')) + 2})")
+
+
 def scan(spark: SparkSession, root: str, ignore: bool = True) -> DataFrame:
     """(path, content bytes, size, modified_at, hash): files below ``root`` that no rule skips."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.element_at(F.split(F.regexp_replace("path", "^file:/+", "/"), base, 2), -1)
+    rel = _relative(root)
     files = raw.select(rel.alias("path"), "content", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_at")).withColumn("hash", sha16("content"))
     kept = files.filter(~paths.skipped(F.col("path")))
     if not ignore:
         return kept
-    found = files.filter((F.col("path") == ".gitignore") | F.endswith("path", F.lit("/.gitignore"))).select("path", F.col("content").cast("string").alias("content"))
-    return paths.not_ignored(kept, paths.rules(found))
+    found = _ignore_files(spark, root)
+    return paths.not_ignored(kept, paths.rules(spark.createDataFrame(found, "path string, content string"))) if found else kept
 
 
 def texts(files: DataFrame) -> DataFrame:
