@@ -53,20 +53,20 @@ ISSUER = re.compile(r"(?<![A-Za-z0-9+/=_\-.])(?:" + "|".join(p for _, _, p in IS
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 PEM_BODY = re.compile(r"(?:\\[rn]|\s|\"|'|\+|,)*(?:[A-Za-z\-]+: [^\n\\]*(?:\\n|\s)+)*([A-Za-z0-9+/=]{16,})")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[]")
+URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,30}+://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[]")
 SCHEME = re.compile(r"(?<![A-Za-z])(?:Bearer|Basic|Token|bearer|basic) ([A-Za-z0-9+/=_\-.~]{12,})")
 CALL_AUTH = re.compile(rf"(?i)(?:bearer|token|basic)_?auth\w*\(\s*({_LITERAL})")
-PAIR = re.compile(rf"[\"'`]([A-Za-z][\w .\-]*)[\"'`]\s*,\s*({_JOINED})")
+PAIR = re.compile(rf"[\"'`]([A-Za-z][\w .\-]{{0,80}})[\"'`]\s*,\s*({_JOINED})")
 LOGIN = re.compile(rf"(?i)\b(?:login|authenticate|sign_?in|connect)\(\s*{_LITERAL}\s*,\s*({_LITERAL})")
-SETTER = re.compile(rf"\b[sS]et_?([A-Za-z_]+)\(\s*({_JOINED})")
+SETTER = re.compile(rf"\b[sS]et_?([A-Za-z_]{{1,80}})\(\s*({_JOINED})")
 QUOTED = re.compile(
-    rf"([A-Za-z][\w\-]*)[\"'`]?\]?\s*(?::\s*&?(?:'static\s+)?[\w.<>|]+\s*=(?![=>])|=>|:=|=(?![=>])|:)\s*"
+    rf"(?<![\w\-])([A-Za-z][\w\-]{{0,80}}+)[\"'`]?\]?\s*(?::\s*&?(?:'static\s+)?[\w.<>|]+\s*=(?![=>])|=>|:=|=(?![=>])|:)\s*"
     rf"(?:\(\s*|concat!\(\s*|String::from\(\s*|Some\(\s*|[rbu](?=[\"']))*({_JOINED})"
 )
 BARE = re.compile(r"^\s*(?:[#;/*\-]+\s*)?(?:was:|old:|formerly:)?\s*(?:export\s+|ENV\s+)?([A-Za-z][\w.\-]*)\s*[=:]\s*([^\s\"'`]\S*)\s*(?:#.*)?$")
 PROSE = re.compile(r"(?i)\b(?:password|passphrase|passwd|secret|token|api key|credential)\b[^\"'`=:\n]{0,60}?\b(?:is|was)\s+[\"'`]?(\S+)")
 PROSE_LOGIN = re.compile(r"(?i)\blogin:?\s+[\w.@\-]+\s*/\s*(\S+)")
-REMARK = re.compile(r"([A-Za-z][\w.\-]*)\s*[:=]\s*([^\s\"'`]+)")
+REMARK = re.compile(r"(?<![\w.\-])([A-Za-z][\w.\-]{0,80}+)\s*[:=]\s*([^\s\"'`]+)")
 FORMER = re.compile(r"^\W*(?:was|old|formerly):")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,18 +84,24 @@ def blanked(text: str, ext: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
-def closing(code: str, at: int) -> int:
-    """Position behind the bracket that closes the one at ``at``, or -1."""
-    stack = []
-    for m in _BRACKET.finditer(code, at):
+@lru_cache(maxsize=2)
+def _closed(code: str) -> dict[int, int]:
+    """Position of each bracket that is closed -> position behind its partner; a wrong partner closes none that are open."""
+    out, stack = {}, []
+    for m in _BRACKET.finditer(code):
         c = m.group()
         if c in _PAIRS:
-            stack.append(_PAIRS[c])
-        elif not stack or stack.pop() != c:
-            return -1
-        if not stack:
-            return m.end()
-    return -1
+            stack.append((_PAIRS[c], m.start()))
+        elif stack and stack[-1][0] == c:
+            out[stack.pop()[1]] = m.end()
+        else:
+            stack.clear()
+    return out
+
+
+def closing(code: str, at: int) -> int:
+    """Position behind the bracket that closes the one at ``at``, or -1."""
+    return _closed(code).get(at, -1)
 
 
 def _words_of(name: str) -> set[str]:

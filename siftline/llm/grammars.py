@@ -117,7 +117,7 @@ params = param (',' param)* ','?
 param = decorator* tmods '...'? target topt tann? ('=' expr)? | 'this' tann
 class = (decorator NL*)* tabstract 'class' ident? tparams? ('extends' operand)? timpl? '{' (member | ';' | NL)* '}'
 decorator = '@' ident ('.' word)* ('(' args? ')')? | '@' '(' exprs ')'
-member = (decorator NL*)* tmembermods (('static' | 'async' | 'get' | 'set' | 'accessor')* '*'? key topt tparams? '(' params? ')' tret? tbody | ('static' | 'accessor')* key topt bang tann? ('=' expr)? (';' | NL)+ | ('static' | 'accessor')* key topt bang tann? ('=' expr)? | 'static' block | tindex)
+member = (decorator NL*)* tmembermods (('static' | 'async' | 'get' | 'set' | 'accessor')* '*'? key topt tparams? '(' params? ')' tret? tbody | ('static' | 'accessor')* key topt bang tann? ('=' expr)? (';' | NL)+ | ('static' | 'accessor')* key topt bang tann? ('=' expr)? | 'static' block | tindex) | (decorator NL*)* tabs key topt tparams? '(' params? ')' tret?
 tbody = body
 key = word | STR | NUM | PRIVATE | '[' expr ']'
 exprs = expr (',' expr)*
@@ -142,6 +142,7 @@ topt = ()
 tret = NEVER
 tmods = ()
 tmembermods = ()
+tabs = NEVER
 tabstract = ()
 timpl = NEVER
 tindex = NEVER
@@ -163,6 +164,7 @@ tret = ':' (type | ident 'is' type | 'this' 'is' type | 'asserts' (ident | 'this
 tmods = ('private' | 'public' | 'protected' | 'readonly' | 'override')*
 tmembermods = ('private' | 'public' | 'protected' | 'readonly' | 'override' | 'abstract' | 'declare' | 'static')*
 tabstract = 'abstract'?
+tabs = ('private' | 'public' | 'protected' | 'override')* 'abstract' ('private' | 'public' | 'protected' | 'override')*
 timpl = 'implements' type (',' type)*
 tindex = '[' ident ':' type ']' tann? (';' | NL)*
 tparams = '<' tparam (',' tparam)* ','? '>'
@@ -231,7 +233,7 @@ lambda = (ident | '(' (params | ident (',' ident)*)? ')') '->' (block | expr)
 assign = '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>' '=' | '>' '>' '>' '='
 binop = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<' | '>' | '<=' | '>' '=' | '<<' | '>' '>' | '>' '>' '>' | '==' | '!=' | '&&' | '||'
 operand = ('-' | '+' | '~' | '!' | '++' | '--')* (atom post* ('++' | '--')? | '(' type ('&' type)* ')' (operand | lambda))
-atom = ident | NUM | STR | CHAR | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | 'new' targs? annotation* (type '(' args? ')' cbody? | newtype ('[' expr ']')+ dims | newtype dims init) | type '::' ('new' | ident) | type '.' 'class' | 'void' '.' 'class' | switch | ident '(' args? ')'
+atom = ident | NUM | STR | CHAR | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | 'new' targs? annotation* (type '(' args? ')' cbody? | newtype ('[' expr ']')+ dims | newtype dims init) | type '::' ('new' | ident) | type '.' 'class' | 'void' '.' 'class' | switch | (ident | 'this' | 'super') '(' args? ')'
 newtype = annotation* ('boolean' | 'byte' | 'short' | 'int' | 'long' | 'char' | 'float' | 'double' | ident targs? ('.' ident targs?)*)
 post = '.' targs? (ident | 'this' | 'class' | 'super') ('(' args? ')')? | '.' 'new' type '(' args? ')' cbody? | '[' expr ']' | '::' targs? (ident | 'new')
 args = expr (',' expr)*
@@ -405,7 +407,7 @@ class JsonLexer(Lexer):
             return ""
         if t in k and not t.isupper():
             return k[t]
-        return k["STR"] if t[0] == '"' and len(t) > 1 else k["NUM"] if t[0].isdigit() or (t[0] == "-" and len(t) > 1) else self.bad
+        return k["STR"] if t[0] == '"' and len(t) > 1 else k["NUM"] if re.fullmatch(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?", t) else self.bad
 
 
 class PythonLexer(Lexer):
