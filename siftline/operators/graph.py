@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import vectors as V
 from siftline.functions.text import lines_of, sha16, stable_score
-from siftline.session import cut
+from siftline.session import cut, spread
 
 # Node type, language and the expression that finds the name in a trimmed line.
 PATTERNS = [
@@ -29,7 +29,8 @@ def nodes(chunks: DataFrame) -> DataFrame:
     Overlapping chunks and repeated rows give each definition once; languages without rules give a Module node.
     """
     language = F.lower(F.trim("language"))
-    lines = chunks.filter("language is not null").select("codebase_id", "file_path", language.alias("language"), F.coalesce("start_line", F.lit(1)).alias("_s"), F.posexplode(lines_of(F.coalesce("content", F.lit("")))).alias("_i", "_x"))
+    texts = spread(chunks.filter("language is not null").select("codebase_id", "file_path", "language", "start_line", "content"))
+    lines = texts.select("codebase_id", "file_path", language.alias("language"), F.coalesce("start_line", F.lit(1)).alias("_s"), F.posexplode(lines_of(F.coalesce("content", F.lit("")))).alias("_i", "_x"))
     x = F.trim("_x")
     kind = name = None
     for node_type, of, pattern in PATTERNS:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from siftline.config import EngineConfig
 from siftline.functions import text as T
 from siftline.functions import vectors as V
+from siftline.session import cut, spread
 
 DEFAULTS = EngineConfig()
 
@@ -60,14 +61,25 @@ def bm25(chunks: DataFrame, query: str, keep: Column | None = None, config: Engi
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
     kept = keep if keep is not None else F.lit(True)
-    words = chunks.select("id", kept.alias("keep"), T.tokens_of(F.coalesce("content", F.lit(""))).alias("c"), T.tokens_of(F.coalesce("file_path", F.lit(""))).alias("p"))
+    low = chunks.select("id", kept.alias("keep"), F.lower(F.coalesce("content", F.lit(""))).alias("lc"), F.lower(F.coalesce("file_path", F.lit(""))).alias("lp"))
+    low = spread(low)
+    # words are cut out only where a term can be; elsewhere they are only counted
+    may = None
+    for t in terms:
+        here = F.contains("lc", F.lit(t)) | F.contains("lp", F.lit(t))
+        may = here if may is None else may | here
+    none = F.array().cast("array<string>")
+    cut_out = lambda c: F.when(F.col("may"), F.regexp_extract_all(c, F.lit(T.TOKEN), F.lit(0))).otherwise(none)
+    words = low.withColumn("may", may).select("id", "keep", cut_out("lc").alias("c"), cut_out("lp").alias("p"), F.when(~F.col("may"), F.regexp_count("lc", F.lit(T.TOKEN)) + F.regexp_count("lp", F.lit(T.TOKEN))).alias("other"))
     count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
     tf = [(count(F.col("c"), t) * config.content_weight + count(F.col("p"), t) * config.path_weight).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = words.select("id", "keep", (F.size("c") + F.size("p")).alias("dl"), *tf)
+    rows = words.select("id", "keep", F.coalesce("other", F.size("c") + F.size("p")).alias("dl"), *tf)
     stats = rows.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
     score = sum((_bm25(F.col(f"tf{i}"), F.col(f"n{i}"), F.col("docs"), F.col("dl"), F.col("mean"), config.k1, config.b) for i in range(len(terms))), F.lit(0.0))
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0
-    return rows.filter(hit & F.col("keep")).crossJoin(F.broadcast(stats)).select("id", T.stable_score(score).alias("score"))  # stats is one row
+    # the statistics are one row.  A hit is what scores above 0: asked behind the join, as a filter on counts would be
+    # pushed down and cut out all words again
+    scored = rows.filter("keep").crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    return scored.filter("score > 0").select("id", T.stable_score(F.col("score")).alias("score"))
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:
@@ -157,10 +169,12 @@ def hybrid(
     sides = [vector(chunks, embedding, wide, codebase, None if leaky else filters).withColumn("side", F.lit(1))]
     if not vector_only:
         sides.insert(0, full_text(chunks, query, wide, codebase, filters, config).withColumn("side", F.lit(0)))
-    both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])  # at most 6 x limit rows
+    both = cut(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]))  # at most 6 x limit rows, used three times
 
-    few = F.broadcast(both.select("id").distinct())
-    shown = chunks.join(few, "id", "left_semi").select(*out, "content")
+    if limit <= 1000:  # the identifiers reach the scan
+        shown = chunks.filter(F.col("id").isin([r.id for r in both.select("id").distinct().collect()])).select(*out, "content")
+    else:
+        shown = chunks.join(both.select("id").distinct(), "id", "left_semi").select(*out, "content")
     rows = both.join(shown, "id")
     score = F.col("score")
     if clicks is not None and config.learn_from_clicks:

@@ -8,7 +8,7 @@ from siftline.functions import languages, vectors
 from siftline.functions import text as T
 from siftline.operators import catalog, chunking, enrich, graph, paths, rewrite, search, sessions, sharding
 from siftline.operators.search import Filters
-from siftline.session import read
+from siftline.session import cut, read, spread
 from siftline.streaming import feedback
 
 QUERY = "stale token window"
@@ -254,7 +254,7 @@ query("extract_signatures_python", f"""SELECT id, list_transform(list_filter({_T
 query("extract_doc_comments")(lambda s, d: chunks(s, d).select("id", enrich.doc_comments(F.col("content"), _lang()).alias("doc_comments")))
 query("extract_context")(lambda s, d: chunks(s, d).select("id", enrich.context(F.col("content"), _lang()).alias("context")))
 query("extract_types")(lambda s, d: chunks(s, d).select("id", enrich.types(F.col("content"), _lang()).alias("types")))
-query("enrich_chunk")(lambda s, d: chunks(s, d).select("id", enrich.enriched(F.col("content"), _lang()).alias("meta")))
+query("enrich_chunk")(lambda s, d: spread(chunks(s, d).select("id", "content", "language")).select("id", enrich.enriched(F.col("content"), _lang()).alias("meta")))
 query("context_string")(lambda s, d: chunks(s, d).select("id", enrich.rendered(F.col("file_path"), _lang(), enrich.enriched(F.col("content"), _lang()), F.col("content")).alias("text")))
 query("filter_imports")(lambda s, d: search.filtered(chunks(s, d), None, Filters(imports="worker")).select("id"))
 
@@ -267,17 +267,17 @@ _NODES = f"""
     nodes AS (SELECT DISTINCT e.k AS node_type, e.n AS name, codebase_id, file_path, line_no, language FROM e WHERE e IS NOT NULL
               UNION SELECT 'Module', file_path, codebase_id, file_path, 1, lower(trim(language)) FROM chunks WHERE language IS NOT NULL AND lower(trim(language)) NOT IN ('rust', 'javascript', 'typescript', 'python', 'go', 'java'))"""
 query("graph_nodes", f"WITH {_NODES} SELECT node_type, name, codebase_id, file_path, line_no, language FROM nodes")(lambda s, d: graph.nodes(chunks(s, d)).drop("node_id"))
-query("graph_edges")(lambda s, d: (lambda n: graph.contains_edges(n).unionByName(graph.import_edges(n)))(graph.nodes(chunks(s, d))))
+query("graph_edges")(lambda s, d: (lambda n: graph.contains_edges(n).unionByName(graph.import_edges(n)))(cut(graph.nodes(chunks(s, d)))))
 query("import_edges", f"""WITH {_NODES}, i AS (SELECT DISTINCT codebase_id, file_path AS f1, line_no AS l1, unnest(list_distinct(string_split_regex(name, '\\W+'))) AS name FROM nodes WHERE node_type = 'Import')
     SELECT DISTINCT i.codebase_id, f1, file_path AS f2, i.name FROM i JOIN nodes n ON n.codebase_id = i.codebase_id AND n.name = i.name WHERE n.node_type NOT IN ('Import', 'Module') AND f1 <> file_path AND length(i.name) > 2""")(
     lambda s, d: (
         lambda n: graph.import_edges(n).join(n.select(F.col("node_id").alias("from_id"), "codebase_id", F.col("file_path").alias("f1")), "from_id")
         .join(n.select(F.col("node_id").alias("to_id"), F.col("file_path").alias("f2"), "name"), "to_id").select("codebase_id", "f1", "f2", "name").distinct()
-    )(graph.nodes(chunks(s, d)))
+    )(cut(graph.nodes(chunks(s, d))))
 )
 query("import_edges_theta", f"""WITH {_NODES}, a AS (SELECT DISTINCT name AS import_name FROM nodes WHERE node_type = 'Import'), b AS (SELECT DISTINCT name AS defined_name FROM nodes WHERE node_type IN ('Class', 'Struct') AND name <> '')
     SELECT import_name, defined_name FROM a, b WHERE contains(import_name, defined_name) OR contains(defined_name, import_name)""")(
-    lambda s, d: (lambda n: graph.import_edges_by_containment(n.filter("node_type = 'Import'"), n.filter("node_type in ('Class', 'Struct') and name <> ''")))(graph.nodes(chunks(s, d)))
+    lambda s, d: (lambda n: graph.import_edges_by_containment(n.filter("node_type = 'Import'"), n.filter("node_type in ('Class', 'Struct') and name <> ''")))(cut(graph.nodes(chunks(s, d))))
 )
 query("file_dependencies", f"WITH {_NODES} SELECT DISTINCT codebase_id, file_path, name AS import FROM nodes WHERE node_type = 'Import'")(lambda s, d: graph.dependencies(graph.nodes(chunks(s, d))))
 query("graph_dependents", f"""WITH {_NODES}, i AS (SELECT DISTINCT codebase_id, file_path, name FROM nodes WHERE node_type = 'Import' AND codebase_id = '{CODEBASE}'), f AS (SELECT min(file_path) AS file_path FROM i WHERE file_path LIKE '%.java')

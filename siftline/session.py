@@ -41,3 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where the input has too few splits (one small file); large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
