@@ -47,3 +47,20 @@ def spread(df: DataFrame) -> DataFrame:
     """The same rows over all cores where the input has too few splits (one small file); large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, so that it need not be installed on the executors."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_siftline_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siftline-")) / "siftline.zip"  # served by the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"siftline/{p.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._siftline_sent = True
