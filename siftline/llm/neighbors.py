@@ -2,7 +2,7 @@
 
 Rows with the same direction are one class, so copies cost nothing and stay exact.  For each vector
 length, coarse centroids and residual codebooks are fitted on a bounded sample (``SAMPLE`` vectors);
-every class is indexed.  A query looks into its ``PROBES`` nearest lists; there, tables of products
+every class is indexed.  A query looks into its nearest lists; there, tables of products
 between the query and the codebooks give approximate cosines (asymmetric distances), and the best
 ``RERANK`` are scored exactly.  Lists are packed into blocks of at most about ``BLOCK`` classes; a
 list larger than that is spread over several blocks, and queries go to all of them; a block asked by
@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 
 from siftline.session import checkpoint_dir
 
-SAMPLE, PROBES, RERANK, BLOCK, ASKS, PARTS, CODES = 20_000, 8, 40, 4_000, 60_000, 8, 256
+SAMPLE, PROBES, PROBED_PART, RERANK, BLOCK, ASKS, PARTS, CODES = 20_000, 8, 0.06, 40, 4_000, 60_000, 8, 256
+NEAR = 0.85  # from this cosine on, a few lists are enough
 SAME_DIGITS = 6  # directions equal to so many digits are one class
 
 
@@ -54,10 +55,10 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _probes(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _probes(x: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """The nearest list of each vector, and the lists it asks as a query."""
     s = x @ centroids.T
-    p = min(PROBES, s.shape[1])
+    p = min(probes, s.shape[1])
     return s.argmax(axis=1), np.argpartition(-s, p - 1, axis=1)[:, :p]
 
 
@@ -75,6 +76,7 @@ class Model:
         self.codebooks = [_kmeans(residual[:, i * step : (i + 1) * step], min(CODES, len(sample)), rng, 5) for i in range(self.parts)]
         self.blocks: list[list[int]] = []
         self.slices: dict[int, int] = {}
+        self.probes = max(PROBES, math.ceil(lists * PROBED_PART))
 
     def pack(self, sizes: np.ndarray, asked: np.ndarray, first: int) -> int:
         """Blocks for lists of these sizes, numbered from ``first``: near lists share one, large ones have several."""
@@ -178,7 +180,8 @@ def fit(cls: DataFrame, sample: int = SAMPLE) -> dict[int, Model]:
 def search(chunks: DataFrame, k: int = 5, queries: str = "true", least: float = -1.0) -> DataFrame:
     """(id, rank, neighbour, cosine): the k most similar other rows of each row for which ``queries`` (over id) holds.
 
-    Neighbours below the cosine ``least`` may be left out.
+    Neighbours below the cosine ``least`` may be left out.  Where it is high, near vectors share or border on a
+    list, so ``PROBES`` lists are enough; else ``PROBED_PART`` of all lists are asked.
     """
     spark = chunks.sparkSession
     rows, cls = classes(chunks, k + 1)
@@ -186,6 +189,9 @@ def search(chunks: DataFrame, k: int = 5, queries: str = "true", least: float =
     cls.write.parquet(path)
     cls = spark.read.parquet(path)
     models = fit(cls)
+    if least >= NEAR:
+        for m in models.values():
+            m.probes = PROBES
     sent = spark.sparkContext.broadcast(models)  # at most 4096 centroids and 256 codes a length
 
     def sizes(batches):
@@ -194,7 +200,7 @@ def search(chunks: DataFrame, k: int = 5, queries: str = "true", least: float =
             dims = np.array(b.column(1).to_pylist())
             for dim in np.unique(dims):
                 x = _matrix(b.column(2).filter(pa.array(dims == dim)), dim)
-                own, near = _probes(x, sent.value[dim].centroids)
+                own, near = _probes(x, sent.value[dim].centroids, sent.value[dim].probes)
                 for k, lists in enumerate((own, near.ravel())):
                     for c, n in zip(*np.unique(lists, return_counts=True), strict=True):
                         count.setdefault((int(dim), int(c)), [0, 0])[k] += int(n)
@@ -221,7 +227,7 @@ def search(chunks: DataFrame, k: int = 5, queries: str = "true", least: float =
                 x = _matrix(b.column(2).take(pa.array(at)), dim)
                 for lo in range(0, len(at), 4096):
                     q = x[lo : lo + 4096]
-                    own, near = _probes(q, m.centroids)
+                    own, near = _probes(q, m.centroids, m.probes)
                     codes = m.encode(q, own)
                     for j, i in enumerate(at[lo : lo + 4096]):
                         mine = m.blocks[own[j]]
