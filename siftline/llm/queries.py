@@ -40,6 +40,10 @@ SQL: dict[str, str] = {
         dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
         ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    # sizes in characters: the sources that fall short are the same by any such size
+    "p9_found": """
+        WITH n AS (SELECT lower(trim(source)) AS source, sum(coalesce(length(text), 0)) AS n FROM documents WHERE trim(source) <> '' GROUP BY 1)
+        SELECT w.source FROM source_weights w LEFT JOIN n ON n.source = lower(trim(w.source)) WHERE w.max_repeats * coalesce(n.n, 0) < w.target_share * (SELECT sum(n) FROM n)""",
     "p10_found": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         r AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)),
