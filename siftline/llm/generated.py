@@ -13,8 +13,9 @@ Then the sketches are clustered by banding with verification (similarity 0.8):
 * clusters of literals only are data.
 
 Masked shingles take twelve tokens, as the masked alphabet is tiny; plain ones take five.
-Equal files are one class before banding, so copies never make pairs; within a band each class
-is compared with the smallest class of its bucket, so no pairs are made within a bucket either.
+Equal files are one class before banding, so copies never make pairs; within a bucket each class
+is compared with the smallest one, and with all others only where that comparison failed.
+Clusters are the connected components of the verified links.
 
 Defined results: files with other extensions (configuration, Markdown) never count; null content
 is an empty file, which is no match for anything; repeated rows count once; null codebases are
@@ -29,7 +30,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.files import assemble, newest_files
@@ -37,7 +38,7 @@ from siftline.session import checkpoint_dir
 
 CODE = ("py", "rs", "js", "ts", "go", "java")
 MASKED, PLAIN, ROWS, BANDS, KEPT = 12, 5, 4, 16, 256
-SIMILAR, REPOSITORIES, FAMILY = 0.8, 3, 3
+SIMILAR, REPOSITORIES, FAMILY, HOT = 0.8, 3, 3, 1000
 
 _DIRS = r"(?:^|/)(?:%s)/"
 VENDOR_PATH = re.compile(_DIRS % r"vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|deps|site-packages|Pods")
@@ -184,16 +185,47 @@ def sketches(chunks: DataFrame) -> DataFrame:
     return files.select(F.coalesce("codebase_id", F.lit("")).alias("codebase_id"), "file_path", "starts", "parts").mapInArrow(run, SCHEMA)
 
 
-def _stars(classes: DataFrame, key: list, close: str) -> DataFrame:
-    """(leader, digest): each class and the smallest class of a bucket it shares and is close to; itself included."""
-    keyed = classes.select(*key, "digest")
-    names = keyed.columns[:-1]
-    leaders = keyed.groupBy(*names).agg(F.min("digest").alias("leader"), F.max("digest").alias("_last")).filter("leader < _last").drop("_last")
-    pairs = keyed.join(leaders, names).filter("leader < digest").select("leader", "digest").distinct()
-    a = classes.select(F.col("digest").alias("leader"), F.col("signature").alias("_sa"), F.col("words").alias("_wa")).dropDuplicates(["leader"])
-    b = classes.select("digest", F.col("signature").alias("_sb"), F.col("words").alias("_wb")).dropDuplicates(["digest"])
-    near = pairs.join(b, "digest").join(a, "leader").filter(close).select("leader", "digest")
-    return near.unionByName(classes.select(F.col("digest").alias("leader"), "digest").distinct())
+def _kept(df: DataFrame) -> DataFrame:
+    """The same rows, written once and read again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _links(classes: DataFrame, bands: str, side: str, close: str) -> DataFrame:
+    """(a, b), a < b: the close pairs of nodes that share a bucket, but for pairs that are both linked to its least node.
+
+    Each node first meets the least of its bucket. Those that are not close to it meet all others
+    there, in blocks of HOT, so the connected components are those of all close pairs.
+    """
+    sides = [classes.select(F.col("node").alias(n), F.col(side).alias(f"_{side[0]}{n}")) for n in ("a", "b")]
+    near = lambda pairs: pairs.join(sides[1], "b").join(sides[0], "a").filter(close).select("a", "b")
+    keyed = classes.select("home", "node", F.posexplode(bands).alias("_band", "_value"))
+    bucket = ["home", "_band", "_value"]
+    shared = keyed.groupBy(*bucket).agg(F.min("node").alias("a"), F.count("*").alias("_n")).filter("_n > 1")
+    held = _kept(keyed.join(shared, bucket).filter("a < node").select(F.xxhash64(*bucket).alias("_bucket"), "a", F.col("node").alias("b"), F.ceil(F.col("_n") / HOT).cast("int").alias("_salts")))
+    first = _kept(near(held.select("a", "b").distinct()))
+    failed = held.join(first, ["a", "b"], "left_anti").select("_bucket", F.col("b").alias("_x"), F.expr("pmod(xxhash64(b), _salts)").cast("int").alias("_salt"))
+    others = held.select("_bucket", F.col("b").alias("_y"), F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"))
+    rest = failed.join(others, ["_bucket", "_salt"]).filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    return first.unionByName(near(rest))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the least node of its connected component for each node with a link but the least ones themselves."""
+    edges, state = links.select("a", "b").distinct(), None
+    while True:
+        edges = _kept(edges)
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == state:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        state = now
+        # larger neighbours of each node move to its least neighbour, then it and its smaller ones do
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
+        large = both.withColumn("m", least).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        small = large.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+        edges = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
 
 
 # Of the 256 least hashes of both, the share that both have: exact for files of up to 256 shingles.
@@ -211,17 +243,19 @@ def judged(chunks: DataFrame) -> DataFrame:
     files = spark.read.parquet(path)
 
     spread = files.filter("n_tokens >= 30").groupBy("digest", "codebase_id").agg(F.lit(1).alias("_one")).drop("_one")
-    classes = files.filter("n_tokens >= 30").select("digest", "plain_bands", "signature", "words").dropDuplicates(["digest"])
-    stars = _stars(classes, [F.posexplode("plain_bands").alias("_band", "_value")], _WORDS_CLOSE)
-    wide = stars.join(spread, "digest").select("leader", "codebase_id").distinct().groupBy("leader").agg(F.count("*").alias("_n")).filter(f"_n >= {REPOSITORIES}")
-    vendored = stars.join(wide, "leader", "left_semi").select("digest").distinct().withColumn("_vendored", F.lit(True))
-
-    own = files.filter("n_tokens >= 60 and repeats >= 0.45").select("codebase_id", "digest", "masked_bands", "signature", "words").dropDuplicates(["codebase_id", "digest"])
-    kin = _stars(own, ["codebase_id", F.posexplode("masked_bands").alias("_band", "_value")], _MASKS_CLOSE)
-    large = kin.join(own.select("codebase_id", "digest"), "digest").groupBy("leader", "codebase_id").agg(F.count_distinct("digest").alias("_n")).filter(f"_n >= {FAMILY}")
-    families = kin.join(large, "leader").select("codebase_id", "digest").distinct().withColumn("_family", F.lit(True))
-
-    out = files.select("codebase_id", "file_path", "digest", "reason").join(vendored, "digest", "left").join(families, ["codebase_id", "digest"], "left")
+    classes = files.filter("n_tokens >= 30").select(F.lit("").alias("home"), F.col("digest").alias("node"), "plain_bands", "words").dropDuplicates(["node"])
+    roots = components(_links(classes, "plain_bands", "words", _WORDS_CLOSE)).withColumnRenamed("node", "digest")
+    rooted = spread.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    wide = rooted.groupBy("root").agg(F.count_distinct("codebase_id").alias("_n")).filter(f"_n >= {REPOSITORIES}")
+    vendored = rooted.join(wide, "root", "left_semi").select("digest").distinct().withColumn("_vendored", F.lit(True))
+
+    node = F.xxhash64("codebase_id", "digest").alias("node")
+    own = files.filter("n_tokens >= 60 and repeats >= 0.45").select(F.col("codebase_id").alias("home"), node, "masked_bands", "signature").dropDuplicates(["node"])
+    kin = components(_links(own, "masked_bands", "signature", _MASKS_CLOSE))
+    large = kin.groupBy("root").agg(F.count("*").alias("_n")).filter(f"_n >= {FAMILY - 1}")  # the root has no row
+    families = kin.join(large, "root").select(F.explode(F.array("root", "node")).alias("node")).distinct().withColumn("_family", F.lit(True))
+
+    out = files.select("codebase_id", "file_path", "digest", node, "reason").join(vendored, "digest", "left").join(families, "node", "left")
     reason = F.coalesce("reason", F.when(F.col("_vendored"), "vendored cluster"), F.when(F.col("_family"), "generated family"))
     return out.select("codebase_id", "file_path", reason.alias("reason"))
 

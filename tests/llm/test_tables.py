@@ -61,6 +61,23 @@ def test_generated_clusters(spark):
     assert {r.file_path for r in generated.found(table).collect()} == {"p0/lib.py", "p1/lib.py", "p2/lib.py", "v.py", "gen/x.py"}
 
 
+def test_generated_clusters_are_components(spark):
+    """A chain of three codebases whose ends are not alike, in every order of its digests; a hot bucket led by a stranger."""
+    tokens = generated._Tokens()
+    for k in range(3):
+        words = [f"n{k}_{i}" for i in range(150)]
+        texts = [" ".join([f"h{k}_{i}" for i in range(12 * j)] + words[12 * j :]) for j in range(3)]
+        sets = [set(generated.describe(t, "a.js", tokens)["words"]) for t in texts]
+        share = lambda a, b: len(a & b) / len(a | b)
+        assert share(sets[0], sets[1]) >= 0.8 and share(sets[1], sets[2]) >= 0.8 and share(sets[0], sets[2]) < 0.8
+        rows = [chunk(j, f"c{j}", f"{j}.js", t) for j, t in enumerate(texts)]
+        assert generated.found(spark.createDataFrame(rows, CHUNKS)).count() == 3, k
+    nodes = [(n, "", [7], s) for n, s in [(0, [0]), (1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4]), (4, [9]), (5, [9])]]
+    table = spark.createDataFrame(nodes, "node long, home string, bands array<long>, words array<long>")
+    assert rows_of(generated._links(table, "bands", "words", generated._WORDS_CLOSE)) == {(1, 2), (1, 3), (2, 3), (4, 5)}
+    assert rows_of(generated.components(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (5, 9), (7, 9), (7, 8)], "a long, b long"))) == {(2, 1), (3, 1), (5, 4), (7, 4), (8, 4), (9, 4)}
+
+
 def brute_neighbours(vectors, k, least):
     out = set()
     ids = sorted(vectors)
