@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.files import assemble
+
 # Formats of public and private issuers: (keyword in lower case, kind, pattern).
 ISSUERS = [
     ("akia", "aws", r"AKIA[0-9A-Z]{16}"),
@@ -49,9 +51,12 @@ KEYWORDS = [k for k, _, _ in ISSUERS] + [
 
 _LITERAL = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
 _JOINED = rf"{_LITERAL}(?:\s*[+,.\\]?\s*{_LITERAL})*"
+# How the literals of one value go on behind the lines looked at: by an operator, side by side in brackets, as arguments.
+ADDED, ADJOINED, LISTED = (re.compile(rf"(?:{joint}{_LITERAL})*") for joint in (r"\s*(?:[+.]|\\\n)\s*", r"\s*[+.\\]?\s*", r"\s*[+,.\\]?\s*"))
 ISSUER = re.compile(r"(?<![A-Za-z0-9+/=_\-.])(?:" + "|".join(p for _, _, p in ISSUERS) + r")(?![A-Za-z0-9])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 PEM_BODY = re.compile(r"(?:\\[rn]|\s|\"|'|\+|,)*(?:[A-Za-z\-]+: [^\n\\]*(?:\\n|\s)+)*([A-Za-z0-9+/=]{16,})")
+PEM_MORE = re.compile(r"(?:(?:\\[rn]|\s|\"|'|\+|,)*(?:[A-Za-z0-9+/=]{40,}|[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9+/=])))*")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,30}+://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[]")
 SCHEME = re.compile(r"(?<![A-Za-z])(?:Bearer|Basic|Token|bearer|basic) ([A-Za-z0-9+/=_\-.~]{12,})")
@@ -125,8 +130,10 @@ def _rules(text: str, a: int, b: int, bare: bool):
     for m in PEM.finditer(text, a, b):
         body = PEM_BODY.match(text, m.end())
         if body:
-            stop = PEM_END.search(text, m.end())
-            yield "private_key", True, [(m.start(), stop.end() if stop else body.end())]
+            stop, other = PEM_END.search(text, m.end()), PEM.search(text, m.end())
+            if stop and other and other.start() < stop.start():  # the end of another block
+                stop = None
+            yield "private_key", True, [(m.start(), stop.end() if stop else PEM_MORE.match(text, body.end()).end())]
     for m in ISSUER.finditer(text, a, b):
         if not PLACEHOLDER.search(m.group()) and len(set(m.group()[4:])) > 5:
             yield "issuer", m.group().startswith("eyJ") and _jwt(m.group()), [m.span()]
@@ -152,8 +159,11 @@ def _rules(text: str, a: int, b: int, bare: bool):
         for m in rule.finditer(text, begin, window[1]):
             v, spans = _pieces(text, *m.span(2))
             if secret_name(m.group(1)):
-                if "BEGIN" not in v and strong(v):
-                    yield "named", False, spans
+                head = text[m.start() : m.start(2)]
+                more = (LISTED if "concat!(" in head else ADJOINED if "(" in head else ADDED).match(text, m.end(2))
+                whole, joined = _pieces(text, m.start(2), more.end())
+                if "BEGIN" not in v and (strong(v) or strong(whole)):
+                    yield "named", False, joined
             elif len(spans) > 1 and ISSUER.fullmatch(v) and not PLACEHOLDER.search(v):
                 yield "issuer", False, spans
     comment = COMMENT.match(line)
@@ -211,24 +221,59 @@ def scan(text: str | None, path: str | None, auto: ahocorasick.Automaton | None
 _MASK = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
 
 
-def mask(text: str | None, path: str | None) -> str | None:
-    """The text with each credential's letters and digits replaced in place; a key block keeps its frame."""
-    if not text:
-        return text
-    out = list(text)
+def hidden(text: str, path: str | None) -> list[tuple[int, int]]:
+    """The spans to mask; the frame of a key block is left out."""
+    out = []
     for _, kind, _, spans in scan(text, path):
         for a, b in spans:
             if kind == "private_key":
                 a = text.index("KEY-----", a) + 8
                 stop = text.find("-----END", a, b)
                 b = stop if stop >= 0 else b
-                part = re.sub(r"\\[rnt]|[A-Za-z0-9]", lambda m: m.group() if m.group()[0] == "\\" else m.group().translate(_MASK), text[a:b])
-            else:
-                part = re.sub(r"\\[rnt]|[A-Za-z0-9]", lambda m: m.group() if m.group()[0] == "\\" else m.group().translate(_MASK), text[a:b])
-            out[a:b] = part
+            out.append((a, b))
+    return out
+
+
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    out = list(text)
+    for a, b in spans:
+        out[a:b] = re.sub(r"\\[rnt]|[A-Za-z0-9]", lambda m: m.group() if m.group()[0] == "\\" else m.group().translate(_MASK), text[a:b])
     return "".join(out)
 
 
+def mask(text: str | None, path: str | None) -> str | None:
+    """The text with each credential's letters and digits replaced in place; a key block keeps its frame."""
+    return masked(text, hidden(text, path)) if text else text
+
+
+def mask_parts(starts: list[int], parts: list[str], path: str | None) -> list[str]:
+    """The parts of one file version, masked by what the whole version shows.
+
+    Lines that differ from the assembled text (parts that contradict each other), and parts
+    of an unknown file, are masked by what the part shows itself.
+    """
+    if path is None or len(parts) == 1:
+        return [mask(p, path) for p in parts]
+    whole = assemble(starts, parts)
+    spans = hidden(whole, path)
+    begins = [0]
+    for line in whole.split("\n"):
+        begins.append(begins[-1] + len(line) + 1)
+    out = []
+    for s, part in zip(starts, parts, strict=True):
+        at = begins[s - starts[0]]
+        if whole.startswith(part, at) and whole[at + len(part) : at + len(part) + 1] in ("", "\n"):
+            out.append(masked(part, [(max(a - at, 0), min(b - at, len(part))) for a, b in spans if a < at + len(part) and b > at]))
+            continue
+        own, here = hidden(part, path), 0
+        for line, there in zip(part.split("\n"), begins[s - starts[0] :], strict=False):
+            if whole.startswith(line, there):
+                own += [(max(a - there, 0) + here, min(b - there, len(line)) + here) for a, b in spans if a < there + len(line) and b > there]
+            here += len(line) + 1
+        out.append(masked(part, own))
+    return out
+
+
 FINDINGS = "codebase_id string, file_path string, modified_at long, line_no long, kind string, checked boolean, column_no int, length int"
 
 
@@ -268,10 +313,26 @@ def found(chunks: DataFrame) -> DataFrame:
 
 
 def redact(chunks: DataFrame) -> DataFrame:
-    """The chunks with content masked; all other columns, of any name, as they are."""
+    """The chunks with content masked; all other columns, of any name, as they are.
 
-    @F.pandas_udf("string")
-    def masked(text, path):
-        return text.combine(path, lambda t, p: mask(t, p) if isinstance(t, str) else None)
+    Each version of a file is assembled and scanned as a whole, so a credential that goes over
+    the edge of a chunk is masked on both sides.
+    """
 
-    return chunks.withColumn("content", masked(F.col("content"), F.col("file_path")))
+    def run(batches):
+        for b in batches:
+            c = b.to_pydict()
+            rows = []
+            for cb, path, at, starts, parts in zip(c["_c"], c["_f"], c["_m"], c["_starts"], c["_parts"], strict=True):
+                rows += [(cb, path, at, s, old, new) for s, old, new in zip(starts, parts, mask_parts(starts, parts, path), strict=True) if old != new]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["_c", "_f", "_m", "_s", "_old", "_new"])
+
+    key = {"_c": F.col("codebase_id"), "_f": F.col("file_path"), "_m": F.col("modified_at").cast("long"), "_s": F.coalesce(F.col("start_line").cast("int"), F.lit(1))}
+    parts = chunks.filter("content <> ''").select(*(v.alias(k) for k, v in key.items()), F.col("content").alias("_t")).groupBy("_c", "_f", "_m").agg(F.array_sort(F.collect_set(F.struct("_s", "_t"))).alias("_p"))
+    new = parts.select("_c", "_f", "_m", F.col("_p._s").alias("_starts"), F.col("_p._t").alias("_parts")).mapInArrow(run, "_c string, _f string, _m long, _s int, _old string, _new string")
+    same = F.xxhash64(*key.values(), "content") == F.xxhash64("_c", "_f", "_m", "_s", "_old")
+    for k, v in (key | {"_old": F.col("content")}).items():
+        same = same & v.eqNullSafe(F.col(k))
+    names = [F.coalesce("_new", "content").alias(c) if c == "content" else F.col(f"`{c}`") for c in chunks.columns]
+    return chunks.join(new, same, "left").select(*names)

@@ -46,6 +46,23 @@ def test_dirty_rows(dirty, empty):
     assert neighbors.found(dirty).count() == 0
 
 
+def test_redaction_goes_over_the_edges_of_chunks(spark):
+    body = ["".join(random.Random(i).choices("abcdefghijkABCDEFGHIJK0123456789+/", k=64)) for i in range(20)]
+    lines = ["a = 1"] * 10 + ["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"] + ["rest = 2"] * 5
+    lines += ["const apiKey =", '  "q7Rk2xVb9L" +', *[f'  "Zt{i}mWq81Lk" +' for i in range(6)], '  "end5Xq";', "done = 3"]
+    cut = lambda size, step: [(i + 1, "\n".join(lines[i : i + size])) for i in range(0, len(lines), step)]
+    rows = [chunk(100 * at + i, "c", "k.js", text, at=at, start=s) for at, parts in ((2, cut(20, 15)), (1, cut(16, 16))) for i, (s, text) in enumerate(parts)]
+    rows += [chunk(900, "c", "k.js", 'let apiKey = "vQ8#other2Lm"', at=2, start=3)]  # contradicts the others
+    before = {r[0]: r[5] for r in rows}
+    after = {r.id: r.content for r in credentials.redact(spark.createDataFrame(rows, CHUNKS)).collect()}
+    secrets = [*body, "q7Rk2xVb9L", *[f"Zt{i}mWq81Lk" for i in range(6)], "end5Xq", "vQ8#other2Lm"]
+    assert after.keys() == before.keys() and not any(s in text for text in after.values() for s in secrets)
+    for i, text in after.items():
+        assert len(text) == len(before[i]) and all(a == b or not any(x in a for x in ("done", "rest", "a = 1", "BEGIN", "END")) for a, b in zip(before[i].split("\n"), text.split("\n"), strict=True))
+    open_end = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(body) + "\nx = 1\n"
+    assert credentials.mask(open_end, "k.pem").endswith("\nx = 1\n") and not any(b in credentials.mask(open_end, "k.pem") for b in body)
+
+
 def test_generated_clusters(spark):
     def hand(k):
         rng = random.Random(k)
