@@ -43,16 +43,18 @@ ISSUERS = [
     ("qrt-", "qrt", r"qrt-[A-Za-z0-9]{24,}"),
     ("eyj", "jwt", r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{20,}"),
 ]
-# Words that make a line worth testing.
+# Words that make a line worth testing: every rule needs one of them on the line it begins in, or a split issuer format (SPLIT).
 KEYWORDS = [k for k, _, _ in ISSUERS] + [
-    "pass", "pwd", "secret", "token", "credential", "apikey", "api_key", "api-key", "_key", "key\"", "key'",
-    "key:", "key =", "key=", "bearer ", "basic ", "login", "auth", "://", "private key-----",
+    "pass", "pwd", "secret", "token", "credential", "key", "bearer ", "basic ", "login", "auth", "://",
+    "signin(", "sign_in(", "connect(",
 ]
 
 _LITERAL = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
 _JOINED = rf"{_LITERAL}(?:\s*[+,.\\]?\s*{_LITERAL})*"
 # How the literals of one value go on behind the lines looked at: by an operator, side by side in brackets, as arguments.
 ADDED, ADJOINED, LISTED = (re.compile(rf"(?:{joint}{_LITERAL})*") for joint in (r"\s*(?:[+.]|\\\n)\s*", r"\s*[+.\\]?\s*", r"\s*[+,.\\]?\s*"))
+SPLIT = re.compile(r"[\"'`]\s*[+,.\\]?\s*[\"'`]")
+_ISSUED = re.compile("|".join(re.escape(k) for k, _, _ in ISSUERS))
 ISSUER = re.compile(r"(?<![A-Za-z0-9+/=_\-.])(?:" + "|".join(p for _, _, p in ISSUERS) + r")(?![A-Za-z0-9])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 PEM_BODY = re.compile(r"(?:\\[rn]|\s|\"|'|\+|,)*(?:[A-Za-z\-]+: [^\n\\]*(?:\\n|\s)+)*([A-Za-z0-9+/=]{16,})")
@@ -157,15 +159,17 @@ def _rules(text: str, a: int, b: int, bare: bool):
     begin = a + (former.end() if former else 0)
     for rule in (QUOTED, PAIR, SETTER):
         for m in rule.finditer(text, begin, window[1]):
-            v, spans = _pieces(text, *m.span(2))
+            head = text[m.start() : m.start(2)]
+            more = (LISTED if "concat!(" in head else ADJOINED if "(" in head else ADDED).match(text, m.end(2))
+            (v, spans), (whole, joined) = _pieces(text, *m.span(2)), _pieces(text, m.start(2), more.end())
             if secret_name(m.group(1)):
-                head = text[m.start() : m.start(2)]
-                more = (LISTED if "concat!(" in head else ADJOINED if "(" in head else ADDED).match(text, m.end(2))
-                whole, joined = _pieces(text, m.start(2), more.end())
                 if "BEGIN" not in v and (strong(v) or strong(whole)):
                     yield "named", False, joined
-            elif len(spans) > 1 and ISSUER.fullmatch(v) and not PLACEHOLDER.search(v):
-                yield "issuer", False, spans
+                continue
+            for v, spans in ((v, spans), (whole, joined)):
+                if len(spans) > 1 and ISSUER.fullmatch(v) and not PLACEHOLDER.search(v):
+                    yield "issuer", False, spans
+                    break
     comment = COMMENT.match(line)
     if bare and (m := BARE.match(line)):
         if secret_name(m.group(1)) and strong(m.group(2).rstrip(",;")):
@@ -190,6 +194,20 @@ def _automaton() -> ahocorasick.Automaton:
     return auto
 
 
+def _split(text: str, low: str):
+    """Starts of the lines where the statements begin whose adjacent literals together hold the keyword of an issuer format."""
+    for m in SPLIT.finditer(low):
+        if _ISSUED.search(SPLIT.sub("", low[max(0, m.start() - 80) : m.end() + 80])):
+            a = text.rfind("\n", 0, m.start()) + 1
+            yield a
+            for _ in range(3):  # as far as a line looks ahead
+                tail = text[:a].rstrip() if a < 200 else text[a - 200 : a].rstrip()
+                if not tail.endswith(("+", "(", "=", "\\", ",")):
+                    break
+                a = text.rfind("\n", 0, a - 1) + 1
+                yield a
+
+
 def scan(text: str | None, path: str | None, auto: ahocorasick.Automaton | None = None) -> list[tuple[int, str, bool, list[tuple[int, int]]]]:
     """(line within the text from 0, kind, checked, spans) of each credential, in order."""
     if not text:
@@ -201,7 +219,10 @@ def scan(text: str | None, path: str | None, auto: ahocorasick.Automaton | None
     if len(low) != len(text):  # a few letters grow in lower case
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     out, taken, done, line, at = [], [], 0, 0, 0
-    for pos, _ in auto.iter(low):
+    hits = [pos for pos, _ in auto.iter(low)]
+    if (split := set(_split(text, low))):
+        hits = sorted(split.union(hits))
+    for pos in hits:
         if pos < done:
             continue
         a = text.rfind("\n", 0, pos + 1) + 1 if text[pos] != "\n" else text.rfind("\n", 0, pos) + 1

@@ -44,6 +44,17 @@ def test_harmless_lines_are_not(path, text):
     assert credentials.mask(text, path) == text
 
 
+@pytest.mark.parametrize(
+    "path,text",
+    [
+        ("a.go", 'signingKey := "q7Rk2xVb9L#"'), ("a.go", 'accessKey      = "q7Rk2xVb9L#"'), ("a.ts", 'let masterKey : string = "q7Rk2xVb9L#"'), ("a.java", 'c.setEncryptionKey("q7Rk2xVb9L#");'),
+        ("a.py", 'db.connect("root", "q7Rk2xVb9L#")'), ("a.js", 'signIn("root", "q7Rk2xVb9L#")'), ("a.py", 'x = "AK" + "IA" + "Q3EGTZB7WM5XKD2N"'), ("a.py", 'x = (\n    "AKIAQ3EGT"\n    "ZB7WM5XKD2N"\n)'),
+    ],
+)
+def test_keywords_are_a_superset_of_the_rules(path, text):
+    assert credentials.scan(text, path) and not any(s in credentials.mask(text, path) for s in ("q7Rk", "Q3EGT", "ZB7WM"))
+
+
 def test_credentials_edges():
     assert credentials.scan(None, None) == [] and credentials.mask(None, "a") is None and credentials.mask("", None) == ""
     assert credentials.scan("x" * 1_000_000 + ' password="ab12345678!"', "a.py") != []
