@@ -2,10 +2,10 @@
 
 One pass over the files takes, for each, what its path and first comments say, how its tokens
 look (share of literals, blanks and name lengths, repetition of identifier-masked shingles) and
-two MinHash sketches: of identifier-masked token shingles and of the tokens as they are.
+two shingle sets with MinHash bands: of identifier-masked token shingles and of the tokens as they are.
 Comments and blanks are no tokens, so patched comments don't matter.
 
-Then the sketches are clustered by banding with verification (similarity 0.8):
+Then the files are clustered by banding; the exact similarity of the whole sets (0.8) decides:
 
 * a family of masked look-alikes within one repository whose members also repeat within
   themselves is generated; one file that is such a family by itself counts too;
@@ -37,7 +37,7 @@ from siftline.llm.files import assemble, newest_files
 from siftline.session import checkpoint_dir
 
 CODE = ("py", "rs", "js", "ts", "go", "java")
-MASKED, PLAIN, ROWS, BANDS, KEPT = 12, 5, 4, 16, 256
+MASKED, PLAIN, ROWS, BANDS = 12, 5, 4, 16
 SIMILAR, REPOSITORIES, FAMILY, HOT = 0.8, 3, 3, 1000
 
 _DIRS = r"(?:^|/)(?:%s)/"
@@ -154,21 +154,20 @@ def describe(text: str, path: str, tokens: _Tokens) -> dict:
         reason = "minified"
     elif len(real) >= 60 and repeats >= 0.62:
         reason = "generated family"
-    signature = minhash(masks) if len(masks) else np.zeros(0, np.uint64)
     return {
         "reason": reason,
         "repeats": float(repeats),
         "n_tokens": len(real),
         "digest": xxhash.xxh64_intdigest(plain.tobytes()) - 2**63,
-        "masked_bands": bands(signature) if len(masks) else [],
+        "masked_bands": bands(minhash(masks)) if len(masks) else [],
         "plain_bands": bands(minhash(words)) if len(words) else [],
-        "signature": signature.astype(np.uint32).view(np.int32).tolist(),
-        "words": words[:KEPT].astype(np.int64).tolist(),
+        "masks": masks.view(np.int64),
+        "words": words.view(np.int64),
     }
 
 
-_KINDS = [("reason", pa.string()), ("repeats", pa.float64()), ("n_tokens", pa.int32()), ("digest", pa.int64()), ("masked_bands", pa.list_(pa.int64())), ("plain_bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))]
-SCHEMA = "codebase_id string, file_path string, reason string, repeats double, n_tokens int, digest long, masked_bands array<long>, plain_bands array<long>, signature array<int>, words array<long>"
+_KINDS = [("reason", pa.string()), ("repeats", pa.float64()), ("n_tokens", pa.int32()), ("digest", pa.int64()), ("masked_bands", pa.list_(pa.int64())), ("plain_bands", pa.list_(pa.int64())), ("masks", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))]
+SCHEMA = "codebase_id string, file_path string, reason string, repeats double, n_tokens int, digest long, masked_bands array<long>, plain_bands array<long>, masks array<long>, words array<long>"
 
 
 def sketches(chunks: DataFrame) -> DataFrame:
@@ -198,16 +197,19 @@ def _links(classes: DataFrame, bands: str, side: str, close: str) -> DataFrame:
     Each node first meets the least of its bucket. Those that are not close to it meet all others
     there, in blocks of HOT, so the connected components are those of all close pairs.
     """
-    sides = [classes.select(F.col("node").alias(n), F.col(side).alias(f"_{side[0]}{n}")) for n in ("a", "b")]
-    near = lambda pairs: pairs.join(sides[1], "b").join(sides[0], "a").filter(close).select("a", "b")
-    keyed = classes.select("home", "node", F.posexplode(bands).alias("_band", "_value"))
     bucket = ["home", "_band", "_value"]
-    shared = keyed.groupBy(*bucket).agg(F.min("node").alias("a"), F.count("*").alias("_n")).filter("_n > 1")
-    held = _kept(keyed.join(shared, bucket).filter("a < node").select(F.xxhash64(*bucket).alias("_bucket"), "a", F.col("node").alias("b"), F.ceil(F.col("_n") / HOT).cast("int").alias("_salts")))
-    first = _kept(near(held.select("a", "b").distinct()))
-    failed = held.join(first, ["a", "b"], "left_anti").select("_bucket", F.col("b").alias("_x"), F.expr("pmod(xxhash64(b), _salts)").cast("int").alias("_salt"))
-    others = held.select("_bucket", F.col("b").alias("_y"), F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"))
-    rest = failed.join(others, ["_bucket", "_salt"]).filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    keyed = classes.select("home", "node", F.size(side).alias("_n"), bands).dropDuplicates(["node"]).select("home", "node", "_n", F.posexplode(bands).alias("_band", "_value"))
+    shared = keyed.groupBy(*bucket).agg(F.min(F.struct("node", "_n")).alias("_least"), F.count("*").alias("_held")).filter("_held > 1")
+    held = keyed.join(shared, bucket).filter("_least.node < node")
+    held = _kept(held.select(F.xxhash64(*bucket).alias("_bucket"), F.col("_least.node").alias("a"), F.col("_least._n").alias("_na"), F.col("node").alias("b"), F.col("_n").alias("_nb"), F.ceil(F.col("_held") / HOT).cast("int").alias("_salts")))
+    nodes = held.select("a").union(held.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = _kept(classes.select("node", side).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    sides = [sets.select(F.col("node").alias(n), F.col(side).alias(f"_{side[0]}{n}")) for n in ("a", "b")]
+    near = lambda pairs: pairs.filter(_SIZES_CLOSE).select("a", "b").distinct().join(sides[1], "b").join(sides[0], "a").filter(close).select("a", "b")
+    first = _kept(near(held))
+    failed = held.join(first, ["a", "b"], "left_anti").select("_bucket", F.col("b").alias("_x"), F.col("_nb").alias("_na"), F.expr("pmod(xxhash64(b), _salts)").cast("int").alias("_salt"))
+    others = held.select("_bucket", F.col("b").alias("_y"), "_nb", F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"))
+    rest = failed.join(others, ["_bucket", "_salt"]).filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "_na", "_nb")
     return first.unionByName(near(rest))
 
 
@@ -228,11 +230,10 @@ def components(links: DataFrame) -> DataFrame:
         edges = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
 
 
-# Of the 256 least hashes of both, the share that both have: exact for files of up to 256 shingles.
-_WORDS_CLOSE = f"""
-    size(filter(slice(array_sort(array_union(_wa, _wb)), 1, {KEPT}), x -> array_contains(_wa, x) and array_contains(_wb, x)))
-    >= {SIMILAR} * size(slice(array_sort(array_union(_wa, _wb)), 1, {KEPT}))"""
-_MASKS_CLOSE = f"aggregate(zip_with(_sa, _sb, (x, y) -> int(x = y)), 0, (s, x) -> s + x) >= {SIMILAR} * {ROWS * BANDS}"
+# The exact Jaccard index of whole shingle sets, in whole numbers; sizes alone rule many pairs out.
+_CLOSE = f"{round(10 + 10 * SIMILAR)} * size(array_intersect(%s, %s)) >= {round(10 * SIMILAR)} * (size(%s) + size(%s))"
+_WORDS_CLOSE, _MASKS_CLOSE = (_CLOSE % (f"_{x}a", f"_{x}b", f"_{x}a", f"_{x}b") for x in "wm")
+_SIZES_CLOSE = f"10 * least(_na, _nb) >= {round(10 * SIMILAR)} * greatest(_na, _nb)"
 
 
 def judged(chunks: DataFrame) -> DataFrame:
@@ -243,15 +244,15 @@ def judged(chunks: DataFrame) -> DataFrame:
     files = spark.read.parquet(path)
 
     spread = files.filter("n_tokens >= 30").groupBy("digest", "codebase_id").agg(F.lit(1).alias("_one")).drop("_one")
-    classes = files.filter("n_tokens >= 30").select(F.lit("").alias("home"), F.col("digest").alias("node"), "plain_bands", "words").dropDuplicates(["node"])
+    classes = files.filter("n_tokens >= 30").select(F.lit("").alias("home"), F.col("digest").alias("node"), "plain_bands", "words")
     roots = components(_links(classes, "plain_bands", "words", _WORDS_CLOSE)).withColumnRenamed("node", "digest")
     rooted = spread.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     wide = rooted.groupBy("root").agg(F.count_distinct("codebase_id").alias("_n")).filter(f"_n >= {REPOSITORIES}")
     vendored = rooted.join(wide, "root", "left_semi").select("digest").distinct().withColumn("_vendored", F.lit(True))
 
     node = F.xxhash64("codebase_id", "digest").alias("node")
-    own = files.filter("n_tokens >= 60 and repeats >= 0.45").select(F.col("codebase_id").alias("home"), node, "masked_bands", "signature").dropDuplicates(["node"])
-    kin = components(_links(own, "masked_bands", "signature", _MASKS_CLOSE))
+    own = files.filter("n_tokens >= 60 and repeats >= 0.45").select(F.col("codebase_id").alias("home"), node, "masked_bands", "masks")
+    kin = components(_links(own, "masked_bands", "masks", _MASKS_CLOSE))
     large = kin.groupBy("root").agg(F.count("*").alias("_n")).filter(f"_n >= {FAMILY - 1}")  # the root has no row
     families = kin.join(large, "root").select(F.explode(F.array("root", "node")).alias("node")).distinct().withColumn("_family", F.lit(True))
 

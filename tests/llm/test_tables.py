@@ -95,6 +95,16 @@ def test_generated_clusters_are_components(spark):
     assert rows_of(generated.components(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (5, 9), (7, 9), (7, 8)], "a long, b long"))) == {(2, 1), (3, 1), (5, 4), (7, 4), (8, 4), (9, 4)}
 
 
+def test_generated_verification_is_exact(spark):
+    """0.9 of the whole sets are shared, but less than 0.8 of the 256 least hashes; and the other way round."""
+    sets = {1: range(1000), 2: range(100, 1000), 3: range(5000, 6000), 4: [*range(5000, 5600), *range(7000, 7400)]}
+    nodes = [(n, "", [n // 3], list(s)) for n, s in sets.items()]
+    table = spark.createDataFrame(nodes, "node long, home string, bands array<long>, words array<long>")
+    assert rows_of(generated._links(table, "bands", "words", generated._WORDS_CLOSE)) == {(1, 2)}
+    masks = table.withColumnRenamed("words", "masks")
+    assert rows_of(generated._links(masks, "bands", "masks", generated._MASKS_CLOSE)) == {(1, 2)}
+
+
 def brute_neighbours(vectors, k, least):
     out = set()
     ids = sorted(vectors)
