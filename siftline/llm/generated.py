@@ -7,8 +7,8 @@ Comments and blanks are no tokens, so patched comments don't matter.
 
 Then the files are clustered by banding; the exact similarity of the whole sets (0.8) decides:
 
-* a family of masked look-alikes within one repository whose members also repeat within
-  themselves is generated; one file that is such a family by itself counts too;
+* a family of masked look-alikes within one repository is generated, its members of under 80
+  tokens only if they repeat within themselves; one file that is such a family by itself counts too;
 * a cluster of the same tokens in three or more repositories is vendored, whatever its paths;
 * clusters of literals only are data.
 
@@ -38,7 +38,7 @@ from siftline.session import checkpoint_dir
 
 CODE = ("py", "rs", "js", "ts", "go", "java")
 MASKED, PLAIN, ROWS, BANDS = 12, 5, 4, 16
-SIMILAR, REPOSITORIES, FAMILY, HOT = 0.8, 3, 3, 1000
+SIMILAR, REPOSITORIES, FAMILY, HOT, TELLING = 0.8, 3, 3, 1000, 80
 
 _DIRS = r"(?:^|/)(?:%s)/"
 VENDOR_PATH = re.compile(_DIRS % r"vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|deps|site-packages|Pods")
@@ -251,13 +251,15 @@ def judged(chunks: DataFrame) -> DataFrame:
     vendored = rooted.join(wide, "root", "left_semi").select("digest").distinct().withColumn("_vendored", F.lit(True))
 
     node = F.xxhash64("codebase_id", "digest").alias("node")
-    own = files.filter("n_tokens >= 60 and repeats >= 0.45").select(F.col("codebase_id").alias("home"), node, "masked_bands", "masks")
+    own = files.filter("n_tokens >= 30").select(F.col("codebase_id").alias("home"), node, "masked_bands", "masks")
     kin = components(_links(own, "masked_bands", "masks", _MASKS_CLOSE))
     large = kin.groupBy("root").agg(F.count("*").alias("_n")).filter(f"_n >= {FAMILY - 1}")  # the root has no row
     families = kin.join(large, "root").select(F.explode(F.array("root", "node")).alias("node")).distinct().withColumn("_family", F.lit(True))
+    # a few tokens are alike by chance: short files of a family must also repeat within themselves
+    telling = F.expr(f"n_tokens >= {TELLING} or n_tokens >= 60 and repeats >= 0.45")
 
-    out = files.select("codebase_id", "file_path", "digest", node, "reason").join(vendored, "digest", "left").join(families, "node", "left")
-    reason = F.coalesce("reason", F.when(F.col("_vendored"), "vendored cluster"), F.when(F.col("_family"), "generated family"))
+    out = files.select("codebase_id", "file_path", "digest", node, "reason", telling.alias("_telling")).join(vendored, "digest", "left").join(families, "node", "left")
+    reason = F.coalesce("reason", F.when(F.col("_vendored"), "vendored cluster"), F.when(F.col("_family") & F.col("_telling"), "generated family"))
     return out.select("codebase_id", "file_path", reason.alias("reason"))
 
 

@@ -95,6 +95,17 @@ def test_generated_clusters_are_components(spark):
     assert rows_of(generated.components(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (5, 9), (7, 9), (7, 8)], "a long, b long"))) == {(2, 1), (3, 1), (5, 4), (7, 4), (8, 4), (9, 4)}
 
 
+def test_generated_family_need_not_repeat(spark):
+    """Three files of one repository, alike when masked, none repeating within itself; alike short ones are no evidence."""
+    rng = random.Random(3)
+    shape = [rng.choice(["{}(", "){}", "[{}]", "+{}", "-{}", "={}", "*{}", "if {}", "return {}", "for {}", "not {}", "{};", "<{}", ">{}", "&{}", "|{}"]) for _ in range(90)]
+    text = lambda k, n: " ".join(s.format(f"n{k}_{i}") for i, s in enumerate(shape[:n]))
+    assert generated.describe(text(0, 90), "a.js", generated._Tokens())["repeats"] < 0.2
+    rows = [chunk(k, "c", f"{k}.js", text(k, 90)) for k in range(3)] + [chunk(10 + k, "d", f"s{k}.js", text(10 + k, 25)) for k in range(3)]
+    rows += [chunk(20 + k, f"e{k}", f"t{k}.js", text(20 + k, 90)) for k in range(3)]  # one in each of three
+    assert {r.file_path for r in generated.found(spark.createDataFrame(rows, CHUNKS)).collect()} == {"0.js", "1.js", "2.js"}
+
+
 def test_generated_verification_is_exact(spark):
     """0.9 of the whole sets are shared, but less than 0.8 of the 256 least hashes; and the other way round."""
     sets = {1: range(1000), 2: range(100, 1000), 3: range(5000, 6000), 4: [*range(5000, 5600), *range(7000, 7400)]}
