@@ -10,7 +10,8 @@ Then the files are clustered by banding; the exact similarity of the whole sets
 * a family of masked look-alikes within one repository is generated, its members of under 80
   tokens only if they repeat within themselves; one file that is such a family by itself counts too;
 * a cluster of the same tokens in three or more repositories is vendored, whatever its paths;
-* clusters of literals only are data.
+* a cluster, over all repositories, of masked look-alikes that are mostly literals, by count or by
+  characters, is data; one file of many literals that repeats within itself counts too.
 
 Masked shingles take twelve tokens, as the masked alphabet is tiny; plain ones take five.
 Equal files are one class before banding, so copies never make pairs; within a bucket each class
@@ -38,7 +39,7 @@ from siftline.session import checkpoint_dir
 
 CODE = ("py", "rs", "js", "ts", "go", "java")
 MASKED, PLAIN, ROWS, BANDS = 12, 5, 4, 16
-SIMILAR, REPOSITORIES, FAMILY, HOT, TELLING = 0.8, 3, 3, 1000, 80
+SIMILAR, REPOSITORIES, FAMILY, HOT, TELLING, BULK = 0.8, 3, 3, 1000, 80, 1000
 
 _DIRS = r"(?:^|/)(?:%s)/"
 VENDOR_PATH = re.compile(_DIRS % r"vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|deps|site-packages|Pods")
@@ -136,6 +137,9 @@ def describe(text: str, path: str, tokens: _Tokens) -> dict:
     size = {k: sum(len(t) for t, x in zip(found, kinds, strict=True) if x[0] == k) for k in (_SPACE, _TEXT, _NOTE)}
     code = max(1, len(text) - size[_TEXT] - size[_NOTE])
     head = "\n".join(text.split("\n", 12)[:12])
+    n_held = sum(len(t) for t, k in zip(found, kinds, strict=True) if k[0] in (_TEXT, _NUMBER))
+    by_count = n_literal >= 16 and n_literal / max(1, n_literal + n_name) >= 0.8
+    by_size = n_held >= BULK and n_held >= 0.8 * (len(text) - size[_SPACE] - size[_NOTE])
 
     reason = None
     if VENDOR_PATH.search(path):
@@ -148,7 +152,7 @@ def describe(text: str, path: str, tokens: _Tokens) -> dict:
         reason = "generated note"
     elif COPIED.search(head):
         reason = "vendored note"
-    elif n_literal >= 16 and n_literal / max(1, n_literal + n_name) >= 0.8 and repeats >= 0.5:
+    elif by_count and repeats >= 0.5:
         reason = "data"
     elif len(real) >= 60 and names and size[_SPACE] / code < 0.1 and sum(names) / len(names) < 4:
         reason = "minified"
@@ -158,6 +162,7 @@ def describe(text: str, path: str, tokens: _Tokens) -> dict:
         "reason": reason,
         "repeats": float(repeats),
         "n_tokens": len(real),
+        "literal": bool(by_count or by_size),
         "digest": xxhash.xxh64_intdigest(plain.tobytes()) - 2**63,
         "masked_bands": bands(minhash(masks)) if len(masks) else [],
         "plain_bands": bands(minhash(words)) if len(words) else [],
@@ -166,8 +171,8 @@ def describe(text: str, path: str, tokens: _Tokens) -> dict:
     }
 
 
-_KINDS = [("reason", pa.string()), ("repeats", pa.float64()), ("n_tokens", pa.int32()), ("digest", pa.int64()), ("masked_bands", pa.list_(pa.int64())), ("plain_bands", pa.list_(pa.int64())), ("masks", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))]
-SCHEMA = "codebase_id string, file_path string, reason string, repeats double, n_tokens int, digest long, masked_bands array<long>, plain_bands array<long>, masks array<long>, words array<long>"
+_KINDS = [("reason", pa.string()), ("repeats", pa.float64()), ("n_tokens", pa.int32()), ("literal", pa.bool_()), ("digest", pa.int64()), ("masked_bands", pa.list_(pa.int64())), ("plain_bands", pa.list_(pa.int64())), ("masks", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))]
+SCHEMA = "codebase_id string, file_path string, reason string, repeats double, n_tokens int, literal boolean, digest long, masked_bands array<long>, plain_bands array<long>, masks array<long>, words array<long>"
 
 
 def sketches(chunks: DataFrame) -> DataFrame:
@@ -258,8 +263,13 @@ def judged(chunks: DataFrame) -> DataFrame:
     # a few tokens are alike by chance: short files of a family must also repeat within themselves
     telling = F.expr(f"n_tokens >= {TELLING} or n_tokens >= 60 and repeats >= 0.45")
 
-    out = files.select("codebase_id", "file_path", "digest", node, "reason", telling.alias("_telling")).join(vendored, "digest", "left").join(families, "node", "left")
-    reason = F.coalesce("reason", F.when(F.col("_vendored"), "vendored cluster"), F.when(F.col("_family") & F.col("_telling"), "generated family"))
+    held = files.filter("literal").select(F.lit("").alias("home"), F.col("digest").alias("node"), "masked_bands", "masks")
+    alike = components(_links(held, "masked_bands", "masks", _MASKS_CLOSE))
+    many = alike.groupBy("root").agg(F.count("*").alias("_n")).filter(f"_n >= {FAMILY - 1}")
+    data = alike.join(many, "root").select(F.explode(F.array("root", "node")).alias("digest")).distinct().withColumn("_data", F.lit(True))
+
+    out = files.select("codebase_id", "file_path", "digest", node, "reason", "literal", telling.alias("_telling")).join(vendored, "digest", "left").join(families, "node", "left").join(data, "digest", "left")
+    reason = F.coalesce("reason", F.when(F.col("_vendored"), "vendored cluster"), F.when(F.col("_family") & F.col("_telling"), "generated family"), F.when(F.col("_data") & F.col("literal"), "data"))
     return out.select("codebase_id", "file_path", reason.alias("reason"))
 
 

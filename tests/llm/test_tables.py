@@ -106,6 +106,12 @@ def test_generated_family_need_not_repeat(spark):
     assert {r.file_path for r in generated.found(spark.createDataFrame(rows, CHUNKS)).collect()} == {"0.js", "1.js", "2.js"}
 
 
+def test_literal_clusters_are_data(spark):
+    blob = lambda k: f'BLOB{k} = "' + "".join(random.Random(k).choices("abcdef0123456789", k=3000)) + '"\n'
+    rows = [chunk(k, f"c{k}", f"{k}.py", blob(k)) for k in range(3)] + [chunk(10 + k, "d", f"s{k}.py", f'NAME{k} = "short{k}"\n') for k in range(3)]
+    assert {tuple(r)[1:] for r in generated.judged(spark.createDataFrame(rows, CHUNKS)).collect() if r.reason} == {(f"{k}.py", "data") for k in range(3)}
+
+
 def test_generated_verification_is_exact(spark):
     """0.9 of the whole sets are shared, but less than 0.8 of the 256 least hashes; and the other way round."""
     sets = {1: range(1000), 2: range(100, 1000), 3: range(5000, 6000), 4: [*range(5000, 5600), *range(7000, 7400)]}
