@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.errors import ConfigError
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -23,13 +28,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of the cluster (spark.checkpoint.dir); in local mode, where none is set, a folder of this process."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_siftline_folder", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="siftline-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set("spark.checkpoint.dir", shared)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared)
+        if not context.master.startswith("local["):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = context._siftline_folder = tempfile.mkdtemp(prefix="siftline-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared)
     return shared
 
 
@@ -39,6 +47,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{checkpoint_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder once and read again; ``forget`` or ``clean`` deletes them."""
+    spark = df.sparkSession
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftline_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``kept`` that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t._siftline_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when the results are written."""
+    _delete(spark, tables_dir(spark))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
