@@ -3,9 +3,12 @@
 One pass over the files takes, for each, what its path and first comments say, how its tokens
 look (share of literals, blanks and name lengths, repetition of identifier-masked shingles) and
 two shingle sets with MinHash bands: of identifier-masked token shingles and of the tokens as they are.
-Comments and blanks are no tokens, so patched comments don't matter.
+Comments and blanks are no tokens, so patched comments don't matter.  What a file says of itself is
+looked for in the comments before its first statement, however long they are.
 
-Then the files are clustered by banding; the exact similarity of the whole sets (0.8) decides:
+Then the files are clustered by banding.  Bands and the agreement of the whole signatures give candidates (of pairs
+with a similarity of 0.8 the bands miss 2 in 10,000, the signatures 1 in 100,000); only for these are the files read again
+and the exact similarity of the whole sets taken (0.8), which decides:
 
 * a family of masked look-alikes within one repository is generated, its members of under 80
   tokens only if they repeat within themselves; one file that is such a family by itself counts too;
@@ -14,9 +17,10 @@ Then the files are clustered by banding; the exact similarity of the whole sets
   characters, is data; one file of many literals that repeats within itself counts too.
 
 Masked shingles take twelve tokens, as the masked alphabet is tiny; plain ones take five.
-Equal files are one class before banding, so copies never make pairs; within a bucket each class
+Files with equal token sets are one node before banding, so copies never make pairs; within a bucket each node
 is compared with the smallest one, and with all others only where that comparison failed.
-Clusters are the connected components of the verified links.
+Clusters are the connected components of the verified links.  ``reason`` is the first evidence found, ``cluster``
+what the clusters say, whatever the file says of itself.
 
 Defined results: files with other extensions (configuration, Markdown) never count; null content
 is an empty file, which is no match for anything; repeated rows count once; null codebases are
@@ -26,20 +30,21 @@ one codebase; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.files import assemble, newest_files
-from siftline.session import checkpoint_dir
+from siftline.session import forget, kept
 
 CODE = ("py", "rs", "js", "ts", "go", "java")
 MASKED, PLAIN, ROWS, BANDS = 12, 5, 4, 16
-SIMILAR, REPOSITORIES, FAMILY, HOT, TELLING, BULK = 0.8, 3, 3, 1000, 80, 1000
+SIMILAR, REPOSITORIES, FAMILY, HOT, LEAST, TELLING, BULK = 0.8, 3, 3, 1000, 30, 80, 1000
+AGREE = 36  # of 64 values of two signatures; at a similarity of 0.8 fewer agree once in 100,000 pairs
 
 _DIRS = r"(?:^|/)(?:%s)/"
 VENDOR_PATH = re.compile(_DIRS % r"vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|deps|site-packages|Pods")
@@ -65,30 +70,50 @@ _TOKEN = {
     True: re.compile(rf"\s+|#[^\n]*|{_TRIPLE}|{_STRING}|[^\W\d]\w*|\d[\w.]*|[^\s\w]"),
     False: re.compile(rf"\s+|//[^\n]*|/\*[\s\S]*?\*/|{_STRING}|'[^\W\d]\w*|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\s\w]"),
 }
-_SPACE, _NOTE, _TEXT, _NUMBER, _NAME, _SIGN = range(6)
+_SPACE, _NOTE, _TEXT, _NUMBER, _NAME, _WORD, _SIGN = range(7)
 
 
 class _Tokens(dict):
-    """Token -> (kind, hash, hash of its mask)."""
-
-    def __missing__(self, t: str) -> tuple[int, int, int]:
-        if len(self) > 300_000:
-            self.clear()
+    """Token -> its place in the arrays of kinds, lengths, hashes and hashes of masks."""
+
+    def __init__(self, python: bool):
+        super().__init__()
+        self.python = python
+        self._fresh(1 << 16)
+
+    def _fresh(self, room: int) -> None:
+        self.kind, self.length = np.zeros(room, np.int8), np.zeros(room, np.int64)
+        self.hash, self.mask = np.zeros(room, np.uint64), np.zeros(room, np.uint64)
+
+    def __missing__(self, t: str) -> int:
+        at = len(self)
+        if at == len(self.kind):
+            for name in ("kind", "length", "hash", "mask"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
         c = t[0]
         if c.isspace():
             kind, mask = _SPACE, " "
-        elif (c == "#" and len(t) > 1) or (t.startswith(("//", "/*")) and len(t) > 1):
+        elif (c == "#" and self.python) or (t.startswith(("//", "/*")) and len(t) > 1):
             kind, mask = _NOTE, " "
         elif c in "\"'`" and len(t) > 1 and t[-1] == c:
             kind, mask = _TEXT, "s"
         elif c.isdigit():
             kind, mask = _NUMBER, "0"
         elif c.isalpha() or c in "_$":
-            kind, mask = _NAME, t if t in _KEYWORDS else "i"
+            kind, mask = (_WORD, t) if t in _KEYWORDS else (_NAME, "i")
         else:
             kind, mask = _SIGN, t
-        self[t] = r = (kind, xxhash.xxh64_intdigest(t), xxhash.xxh64_intdigest(mask))
-        return r
+        self.kind[at], self.length[at] = kind, len(t)
+        self.hash[at], self.mask[at] = xxhash.xxh64_intdigest(t), xxhash.xxh64_intdigest(mask)
+        self[t] = at
+        return at
+
+    def places(self, found: list[str]) -> np.ndarray:
+        if len(self) > 300_000:  # between files, so that no place changes its meaning within one
+            self.clear()
+            self._fresh(1 << 16)
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
 _rng = np.random.default_rng(20_240_601)
@@ -112,34 +137,52 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def minhash(items: np.ndarray) -> np.ndarray:
     """The signature: for each of 64 multipliers the least product, upper half."""
-    return ((items[:, None] * _MULTIPLY[None, :]) >> np.uint64(32)).min(axis=0)
+    least = None
+    for i in range(0, len(items), 4096):
+        m = ((items[i : i + 4096, None] * _MULTIPLY[None, :]) >> np.uint64(32)).min(axis=0)
+        least = m if least is None else np.minimum(least, m)
+    return least
 
 
 def bands(signature: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(signature[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) - 2**63 for i in range(BANDS)]
 
 
-def describe(text: str, path: str, tokens: _Tokens) -> dict:
-    """What one file shows by itself: reason (or None), repetition, digest, bands and sketches."""
-    low = path.lower()
-    found = _TOKEN[low.endswith(".py")].findall(text)
-    kinds = [tokens[t] for t in found]
-    real = [k for k in kinds if k[0] > _NOTE]
-    plain = np.fromiter((k[1] for k in real), np.uint64, len(real))
-    masked = np.fromiter((k[2] for k in real), np.uint64, len(real))
+def nibbles(signature: np.ndarray) -> list[int]:
+    """The last four bits of each of the 64 values, sixteen to a word."""
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return ((signature & np.uint64(15)).reshape(4, 16) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+def tables() -> dict[bool, _Tokens]:
+    """Token tables of a task: of Python, and of the languages whose comments look as C's."""
+    return {python: _Tokens(python) for python in (True, False)}
+
+
+def counted(text: str, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens, and of those that are neither blank nor comment."""
+    places = tokens.places(_TOKEN[tokens.python].findall(text))
+    return places, places[tokens.kind[places] > _NOTE]
+
+
+def describe(text: str, path: str, known: dict[bool, _Tokens]) -> dict:
+    """What one file shows by itself: reason (or None), digests, bands and signatures."""
+    tokens = known[path.lower().endswith(".py")]
+    places, real = counted(text, tokens)
+    plain, masked = tokens.hash[real], tokens.mask[real]
     masks, words = shingles(masked, MASKED), shingles(plain, PLAIN)
     windows = max(1, len(real) - MASKED + 1)
     repeats = 1 - len(masks) / windows if len(real) > MASKED else 0.0
 
-    n_literal = sum(k[0] in (_TEXT, _NUMBER) for k in real)
-    n_name = sum(k[0] == _NAME for k in real)
-    names = [len(t) for t, k in zip(found, kinds, strict=True) if k[0] == _NAME and t not in _KEYWORDS]
-    size = {k: sum(len(t) for t, x in zip(found, kinds, strict=True) if x[0] == k) for k in (_SPACE, _TEXT, _NOTE)}
+    kinds, lengths = tokens.kind[places], tokens.length[places]
+    count, size = np.bincount(kinds, minlength=7), np.bincount(kinds, weights=lengths, minlength=7)
+    n_literal, n_name = count[_TEXT] + count[_NUMBER], count[_NAME] + count[_WORD]
     code = max(1, len(text) - size[_TEXT] - size[_NOTE])
-    head = "\n".join(text.split("\n", 12)[:12])
-    n_held = sum(len(t) for t, k in zip(found, kinds, strict=True) if k[0] in (_TEXT, _NUMBER))
+    n_held = size[_TEXT] + size[_NUMBER]
     by_count = n_literal >= 16 and n_literal / max(1, n_literal + n_name) >= 0.8
     by_size = n_held >= BULK and n_held >= 0.8 * (len(text) - size[_SPACE] - size[_NOTE])
+    start = np.flatnonzero(kinds > _NOTE)
+    head = text[: int(lengths[: start[0]].sum())] if len(start) else text  # every character belongs to a token
 
     reason = None
     if VENDOR_PATH.search(path):
@@ -154,123 +197,209 @@ def describe(text: str, path: str, tokens: _Tokens) -> dict:
         reason = "vendored note"
     elif by_count and repeats >= 0.5:
         reason = "data"
-    elif len(real) >= 60 and names and size[_SPACE] / code < 0.1 and sum(names) / len(names) < 4:
+    elif len(real) >= 60 and count[_NAME] and size[_SPACE] / code < 0.1 and size[_NAME] / count[_NAME] < 4:
         reason = "minified"
     elif len(real) >= 60 and repeats >= 0.62:
         reason = "generated family"
+    literal = bool(by_count or by_size)
+    clustered = [(len(masks) > 0) and (len(real) >= LEAST or literal), len(real) >= LEAST]
+    signatures = [minhash(x) if c else None for x, c in zip((masks, words), clustered, strict=True)]
     return {
         "reason": reason,
-        "repeats": float(repeats),
+        "repeats": repeats,
         "n_tokens": len(real),
-        "literal": bool(by_count or by_size),
+        "telling": bool(len(real) >= TELLING or len(real) >= 60 and repeats >= 0.45),
+        "literal": literal,
+        "plain": _digest(words),
+        "masked": _digest(masks),
         "digest": xxhash.xxh64_intdigest(plain.tobytes()) - 2**63,
-        "masked_bands": bands(minhash(masks)) if len(masks) else [],
-        "plain_bands": bands(minhash(words)) if len(words) else [],
-        "masks": masks.view(np.int64),
-        "words": words.view(np.int64),
+        "n_masks": len(masks),
+        "n_words": len(words),
+        **{f"{k}_bands": bands(s) if s is not None else [] for k, s in zip(("masked", "plain"), signatures, strict=True)},
+        **{f"{k}_sign": nibbles(s) if s is not None else [] for k, s in zip(("masked", "plain"), signatures, strict=True)},
     }
 
 
-_KINDS = [("reason", pa.string()), ("repeats", pa.float64()), ("n_tokens", pa.int32()), ("literal", pa.bool_()), ("digest", pa.int64()), ("masked_bands", pa.list_(pa.int64())), ("plain_bands", pa.list_(pa.int64())), ("masks", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))]
-SCHEMA = "codebase_id string, file_path string, reason string, repeats double, n_tokens int, literal boolean, digest long, masked_bands array<long>, plain_bands array<long>, masks array<long>, words array<long>"
+def _digest(items: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(items.tobytes()) - 2**63
+
+
+_LONGS = pa.list_(pa.int64())
+_KINDS = [
+    ("reason", pa.string()), ("n_tokens", pa.int32()), ("telling", pa.bool_()), ("literal", pa.bool_()), ("plain", pa.int64()), ("masked", pa.int64()), ("digest", pa.int64()),
+    ("n_masks", pa.int32()), ("n_words", pa.int32()), ("masked_bands", _LONGS), ("plain_bands", _LONGS), ("masked_sign", _LONGS), ("plain_sign", _LONGS),
+]
+SCHEMA = (
+    "codebase_id string, file_path string, reason string, n_tokens int, telling boolean, literal boolean, plain long, masked long, digest long, "
+    "n_masks int, n_words int, masked_bands array<long>, plain_bands array<long>, masked_sign array<long>, plain_sign array<long>"
+)
+
+
+def _code(chunks: DataFrame) -> DataFrame:
+    cols = [F.coalesce("codebase_id", F.lit("")).alias("codebase_id"), *(F.col(c) for c in ("file_path", "language", "start_line", "content", "modified_at"))]
+    return chunks.filter(F.col("file_path").rlike(rf"(?i)\.({'|'.join(CODE)})$")).select(*cols)
 
 
 def sketches(chunks: DataFrame) -> DataFrame:
-    """One row per code file with its own evidence and its sketches."""
+    """One row per code file with its own evidence, digests of its shingle sets, and their bands and signatures."""
 
     def run(batches):
-        tokens = _Tokens()
+        known = tables()
         for b in batches:
             c = b.to_pydict()
-            rows = [describe(assemble(s, t), p, tokens) for p, s, t in zip(c["file_path"], c["starts"], c["parts"], strict=True)]
+            rows = [describe(assemble(s, t), p, known) for p, s, t in zip(c["file_path"], c["starts"], c["parts"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in _KINDS)], names=["codebase_id", "file_path", *(k for k, _ in _KINDS)])
 
-    files = newest_files(chunks.filter(F.col("file_path").rlike(rf"(?i)\.({'|'.join(CODE)})$")))
-    return files.select(F.coalesce("codebase_id", F.lit("")).alias("codebase_id"), "file_path", "starts", "parts").mapInArrow(run, SCHEMA)
+    return newest_files(_code(chunks)).select("codebase_id", "file_path", "starts", "parts").mapInArrow(run, SCHEMA)
+
+
+def shingle_sets(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(kind, set, items) of the files in ``wanted`` (codebase_id, file_path, masked, plain), whose columns masked and plain say which sets are needed."""
+
+    def run(batches):
+        known = tables()
+        for b in batches:
+            c = b.to_pydict()
+            out: list[tuple] = []
+            for path, starts, parts, m, p in zip(c["file_path"], c["starts"], c["parts"], c["masked"], c["plain"], strict=True):
+                tokens = known[path.lower().endswith(".py")]
+                _, real = counted(assemble(starts, parts), tokens)
+                if m is not None:
+                    out.append(("m", m, shingles(tokens.mask[real], MASKED).view(np.int64)))
+                if p is not None:
+                    out.append(("w", p, shingles(tokens.hash[real], PLAIN).view(np.int64)))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.int64(), _LONGS), strict=True)], names=["kind", "set", "items"])
+
+    key = ["codebase_id", "file_path"]
+    files = newest_files(_code(chunks).join(wanted.select(*key), key, "left_semi")).join(wanted, key)
+    return files.select("file_path", "starts", "parts", "masked", "plain").mapInArrow(run, "kind string, set long, items array<long>")
+
+
+def sets_of(chunks: DataFrame, files: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The wanted sets, each taken from one of the files that have it."""
+
+    def of(needed: DataFrame) -> DataFrame:
+        some = lambda k, c: needed.filter(F.col("kind") == k).join(files.groupBy(F.col(c).alias("set")).agg(F.min(F.struct("codebase_id", "file_path")).alias("f")), "set").select("f.*", F.lit(k).alias("kind"), "set")
+        one = some("m", "masked").unionByName(some("w", "plain"))
+        wanted = one.groupBy("codebase_id", "file_path").agg(*(F.max(F.when(F.col("kind") == k, F.col("set"))).alias(c) for k, c in (("m", "masked"), ("w", "plain"))))
+        return shingle_sets(chunks, kept(wanted))
+
+    return of
+
 
+def _bits(a: Column, b: Column) -> Column:
+    """How many of sixteen nibbles differ."""
+    x = a.bitwiseXOR(b)
+    y = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+    return F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The same rows, written once and read again."""
-    path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
 
+def _plausible(x: str, y: str) -> Column:
+    """Whether two nodes (structs n, sign) can be alike: sizes alone rule many pairs out, the signatures most of the rest."""
+    a, b = F.col(x), F.col(y)
+    sizes = 10 * F.least(a["n"], b["n"]) >= round(10 * SIMILAR) * F.greatest(a["n"], b["n"])
+    return sizes & (sum(_bits(a["sign"][i], b["sign"][i]) for i in range(4)) <= ROWS * BANDS - AGREE)
 
-def _links(classes: DataFrame, bands: str, side: str, close: str) -> DataFrame:
+
+# The exact Jaccard index of whole shingle sets, in whole numbers.
+_CLOSE = f"{round(10 + 10 * SIMILAR)} * size(array_intersect(_x, _y)) >= {round(10 * SIMILAR)} * (size(_x) + size(_y))"
+
+
+def _nodes(files: DataFrame) -> DataFrame:
+    """(node, kind, set, home, bands, n, sign): what is clustered. Families within a repository, plain copies and literal files each have nodes of their own."""
+    kind = lambda which, home, s, name, n: F.struct(F.lit(which[0]).alias("kind"), F.lit(which).alias("which"), home.alias("home"), F.col(s).alias("set"), F.col(f"{name}_bands").alias("bands"), F.col(f"{name}_sign").alias("sign"), F.col(n).alias("n"))
+    here, nowhere = F.col("codebase_id"), F.lit("")
+    every = F.array(
+        F.when(F.col("n_tokens") >= LEAST, kind("w", nowhere, "plain", "plain", "n_words")),
+        F.when((F.col("n_tokens") >= LEAST) & (F.col("n_masks") > 0), kind("m", here, "masked", "masked", "n_masks")),
+        F.when(F.col("literal") & (F.col("n_masks") > 0), kind("ml", nowhere, "masked", "masked", "n_masks")),
+    )
+    each = files.select(F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select(F.xxhash64("x.which", "x.home", "x.set").alias("node"), "x.*")
+    return each.groupBy("node").agg(F.any_value(F.struct("kind", "which", "home", "set", "bands", "sign", "n")).alias("x")).select("node", "x.*")
+
+
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b), a < b: the close pairs of nodes that share a bucket, but for pairs that are both linked to its least node.
 
+    ``nodes`` is as ``_nodes`` gives it, ``sets_of`` gives (kind, set, items) of the wanted (kind, set).
     Each node first meets the least of its bucket. Those that are not close to it meet all others
     there, in blocks of HOT, so the connected components are those of all close pairs.
     """
-    bucket = ["home", "_band", "_value"]
-    keyed = classes.select("home", "node", F.size(side).alias("_n"), bands).dropDuplicates(["node"]).select("home", "node", "_n", F.posexplode(bands).alias("_band", "_value"))
-    shared = keyed.groupBy(*bucket).agg(F.min(F.struct("node", "_n")).alias("_least"), F.count("*").alias("_held")).filter("_held > 1")
-    held = keyed.join(shared, bucket).filter("_least.node < node")
-    held = _kept(held.select(F.xxhash64(*bucket).alias("_bucket"), F.col("_least.node").alias("a"), F.col("_least._n").alias("_na"), F.col("node").alias("b"), F.col("_n").alias("_nb"), F.ceil(F.col("_held") / HOT).cast("int").alias("_salts")))
-    nodes = held.select("a").union(held.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = _kept(classes.select("node", side).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    sides = [sets.select(F.col("node").alias(n), F.col(side).alias(f"_{side[0]}{n}")) for n in ("a", "b")]
-    near = lambda pairs: pairs.filter(_SIZES_CLOSE).select("a", "b").distinct().join(sides[1], "b").join(sides[0], "a").filter(close).select("a", "b")
-    first = _kept(near(held))
-    failed = held.join(first, ["a", "b"], "left_anti").select("_bucket", F.col("b").alias("_x"), F.col("_nb").alias("_na"), F.expr("pmod(xxhash64(b), _salts)").cast("int").alias("_salt"))
-    others = held.select("_bucket", F.col("b").alias("_y"), "_nb", F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"))
-    rest = failed.join(others, ["_bucket", "_salt"]).filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "_na", "_nb")
-    return first.unionByName(near(rest))
-
-
-def components(links: DataFrame) -> DataFrame:
+    bucket = F.explode(F.transform("bands", lambda v, i: F.xxhash64("which", "home", i, v))).alias("bucket")
+    keyed = nodes.select("node", F.struct("n", "sign", "kind", "set").alias("x"), bucket)
+    # a bucket's least node and size come before the join, so no bucket has to be in one task
+    shared = nodes.select("node", bucket).groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("held")).filter("held > 1")
+    meet = kept(keyed.join(shared, "bucket").select("bucket", "a", F.col("node").alias("b"), "x", F.ceil(F.col("held") / HOT).cast("int").alias("salts")))
+
+    marks = meet.select(F.col("b").alias("node"), "x").groupBy("node").agg(F.any_value("x").alias("x"))
+    least = marks.withColumnsRenamed({"node": "a", "x": "y"})
+    stars = meet.filter("a < b").select("a", "b", "x").groupBy("a", "b").agg(F.any_value("x").alias("x")).join(least, "a").filter(_plausible("x", "y"))
+    stars = stars.select("a", "b", F.col("x.kind").alias("kind"), F.col("y.set").alias("sa"), F.col("x.set").alias("sb"))
+
+    sets = kept(sets_of(marks.select("x.kind", "x.set").distinct()))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select("kind", F.col("set").alias(s), F.col("items").alias(i)) for s, i in (("sb", "_x"), ("sa", "_y")))
+        return pairs.join(x, ["kind", "sb"]).join(y, ["kind", "sa"]).filter(_CLOSE).select("a", "b")
+
+    first = kept(close(stars))
+    failed = meet.filter("a < b").join(first, ["a", "b"], "left_anti").select("bucket", "b", "x", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"))
+    others = meet.filter("a < b").select("bucket", F.col("b").alias("c"), F.col("x").alias("y"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    met = failed.join(others, ["bucket", "salt"]).filter((F.col("b") != F.col("c")) & _plausible("x", "y"))
+    low, high = (f(F.struct("b", "x"), F.struct(F.col("c").alias("b"), F.col("y").alias("x"))) for f in (F.least, F.greatest))
+    rest = met.select(low.alias("l"), high.alias("h")).select(F.col("l.b").alias("a"), F.col("h.b").alias("b"), F.col("l.x.kind").alias("kind"), F.col("l.x.set").alias("sa"), F.col("h.x.set").alias("sb")).distinct()
+    out = kept(first.unionByName(close(rest)))
+    forget(meet, sets, first)
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of its connected component for each node with a link but the least ones themselves."""
-    edges, state = links.select("a", "b").distinct(), None
+    edges, state = edges.select("a", "b").distinct(), None
     while True:
-        edges = _kept(edges)
+        before, edges = edges, kept(edges)
+        if hasattr(before, "_siftline_path"):
+            forget(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         state = now
         # larger neighbours of each node move to its least neighbour, then it and its smaller ones do
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", least).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
-        small = large.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         edges = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
 
 
-# The exact Jaccard index of whole shingle sets, in whole numbers; sizes alone rule many pairs out.
-_CLOSE = f"{round(10 + 10 * SIMILAR)} * size(array_intersect(%s, %s)) >= {round(10 * SIMILAR)} * (size(%s) + size(%s))"
-_WORDS_CLOSE, _MASKS_CLOSE = (_CLOSE % (f"_{x}a", f"_{x}b", f"_{x}a", f"_{x}b") for x in "wm")
-_SIZES_CLOSE = f"10 * least(_na, _nb) >= {round(10 * SIMILAR)} * greatest(_na, _nb)"
-
-
 def judged(chunks: DataFrame) -> DataFrame:
-    """(codebase_id, file_path, reason) of every code file; reason is null for hand-written ones."""
-    spark = chunks.sparkSession
-    path = f"{checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
-    sketches(chunks).write.parquet(path)
-    files = spark.read.parquet(path)
-
-    spread = files.filter("n_tokens >= 30").groupBy("digest", "codebase_id").agg(F.lit(1).alias("_one")).drop("_one")
-    classes = files.filter("n_tokens >= 30").select(F.lit("").alias("home"), F.col("digest").alias("node"), "plain_bands", "words")
-    roots = components(_links(classes, "plain_bands", "words", _WORDS_CLOSE)).withColumnRenamed("node", "digest")
-    rooted = spread.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    wide = rooted.groupBy("root").agg(F.count_distinct("codebase_id").alias("_n")).filter(f"_n >= {REPOSITORIES}")
-    vendored = rooted.join(wide, "root", "left_semi").select("digest").distinct().withColumn("_vendored", F.lit(True))
-
-    node = F.xxhash64("codebase_id", "digest").alias("node")
-    own = files.filter("n_tokens >= 30").select(F.col("codebase_id").alias("home"), node, "masked_bands", "masks")
-    kin = components(_links(own, "masked_bands", "masks", _MASKS_CLOSE))
-    large = kin.groupBy("root").agg(F.count("*").alias("_n")).filter(f"_n >= {FAMILY - 1}")  # the root has no row
-    families = kin.join(large, "root").select(F.explode(F.array("root", "node")).alias("node")).distinct().withColumn("_family", F.lit(True))
+    """(codebase_id, file_path, reason, cluster) of every code file; reason is null for hand-written ones."""
+    files = kept(sketches(chunks))
+    found = links(_nodes(files), sets_of(chunks, files))
+    roots = kept(components(found))
+    forget(found)
+    rooted = lambda rows, which, home, s: rows.withColumn("node", F.xxhash64(F.lit(which), home, s)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    here, nowhere = F.col("codebase_id"), F.lit("")
+
+    spread = rooted(files.filter(f"n_tokens >= {LEAST}").select("plain", "codebase_id").distinct(), "w", nowhere, "plain")
+    wide = spread.groupBy("root").agg(F.count_distinct("codebase_id").alias("_n")).filter(f"_n >= {REPOSITORIES}")
+    vendored = spread.join(wide, "root", "left_semi").select("plain").distinct().withColumn("_vendored", F.lit(True))
+
+    # members of families and of data clusters are counted as different texts, of which one node may hold many
+    own = rooted(files.filter(f"n_tokens >= {LEAST} and n_masks > 0").select("codebase_id", "masked", "digest").distinct(), "m", here, "masked")
+    large = own.groupBy("root").agg(F.count_distinct("digest").alias("_n")).filter(f"_n >= {FAMILY}")
+    families = own.join(large, "root", "left_semi").select("codebase_id", "masked").distinct().withColumn("_family", F.lit(True))
+
+    held = rooted(files.filter("literal and n_masks > 0").select("masked", "digest").distinct(), "ml", nowhere, "masked")
+    many = held.groupBy("root").agg(F.count_distinct("digest").alias("_n")).filter(f"_n >= {FAMILY}")
+    data = held.join(many, "root", "left_semi").select("masked").distinct().withColumn("_data", F.lit(True))
+
+    out = files.select("codebase_id", "file_path", "n_tokens", "plain", "masked", "reason", "literal", "telling")
+    out = out.join(vendored, "plain", "left").join(families, ["codebase_id", "masked"], "left").join(data, "masked", "left")
     # a few tokens are alike by chance: short files of a family must also repeat within themselves
-    telling = F.expr(f"n_tokens >= {TELLING} or n_tokens >= 60 and repeats >= 0.45")
-
-    held = files.filter("literal").select(F.lit("").alias("home"), F.col("digest").alias("node"), "masked_bands", "masks")
-    alike = components(_links(held, "masked_bands", "masks", _MASKS_CLOSE))
-    many = alike.groupBy("root").agg(F.count("*").alias("_n")).filter(f"_n >= {FAMILY - 1}")
-    data = alike.join(many, "root").select(F.explode(F.array("root", "node")).alias("digest")).distinct().withColumn("_data", F.lit(True))
-
-    out = files.select("codebase_id", "file_path", "digest", node, "reason", "literal", telling.alias("_telling")).join(vendored, "digest", "left").join(families, "node", "left").join(data, "digest", "left")
-    reason = F.coalesce("reason", F.when(F.col("_vendored"), "vendored cluster"), F.when(F.col("_family") & F.col("_telling"), "generated family"), F.when(F.col("_data") & F.col("literal"), "data"))
-    return out.select("codebase_id", "file_path", reason.alias("reason"))
+    cluster = F.when(F.col("_vendored") & (F.col("n_tokens") >= LEAST), "vendored cluster").when(F.col("_family") & F.col("telling"), "generated family").when(F.col("_data") & F.col("literal"), "data")
+    return out.select("codebase_id", "file_path", F.coalesce("reason", cluster).alias("reason"), cluster.alias("cluster"))
 
 
 def found(chunks: DataFrame) -> DataFrame:

@@ -78,20 +78,27 @@ def test_generated_clusters(spark):
     assert {r.file_path for r in generated.found(table).collect()} == {"p0/lib.py", "p1/lib.py", "p2/lib.py", "v.py", "gen/x.py"}
 
 
+def links_of(spark, sets, buckets):
+    """Links of nodes that all have the same signature, so that only the sets decide."""
+    nodes = [(n, "w", "w", "", n, [buckets[n]], [0, 0, 0, 0], len(s)) for n, s in sets.items()]
+    table = spark.createDataFrame(nodes, "node long, kind string, which string, home string, set long, bands array<long>, sign array<long>, n int")
+    items = spark.createDataFrame([("w", n, list(s)) for n, s in sets.items()], "kind string, set long, items array<long>")
+    return rows_of(generated.links(table, lambda needed: items.join(needed, ["kind", "set"], "left_semi")))
+
+
 def test_generated_clusters_are_components(spark):
     """A chain of three codebases whose ends are not alike, in every order of its digests; a hot bucket led by a stranger."""
-    tokens = generated._Tokens()
+    tokens = generated.tables()[False]
     for k in range(3):
         words = [f"n{k}_{i}" for i in range(150)]
         texts = [" ".join([f"h{k}_{i}" for i in range(12 * j)] + words[12 * j :]) for j in range(3)]
-        sets = [set(generated.describe(t, "a.js", tokens)["words"]) for t in texts]
+        sets = [set(generated.shingles(tokens.hash[generated.counted(t, tokens)[1]], generated.PLAIN).tolist()) for t in texts]
         share = lambda a, b: len(a & b) / len(a | b)
         assert share(sets[0], sets[1]) >= 0.8 and share(sets[1], sets[2]) >= 0.8 and share(sets[0], sets[2]) < 0.8
         rows = [chunk(j, f"c{j}", f"{j}.js", t) for j, t in enumerate(texts)]
         assert generated.found(spark.createDataFrame(rows, CHUNKS)).count() == 3, k
-    nodes = [(n, "", [7], s) for n, s in [(0, [0]), (1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4]), (4, [9]), (5, [9])]]
-    table = spark.createDataFrame(nodes, "node long, home string, bands array<long>, words array<long>")
-    assert rows_of(generated._links(table, "bands", "words", generated._WORDS_CLOSE)) == {(1, 2), (1, 3), (2, 3), (4, 5)}
+    sets = {0: [0], 1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5], 3: [1, 2, 3, 4], 4: [9], 5: [9]}
+    assert links_of(spark, sets, {n: 7 for n in sets}) == {(1, 2), (1, 3), (2, 3), (4, 5)}
     assert rows_of(generated.components(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (5, 9), (7, 9), (7, 8)], "a long, b long"))) == {(2, 1), (3, 1), (5, 4), (7, 4), (8, 4), (9, 4)}
 
 
@@ -100,7 +107,7 @@ def test_generated_family_need_not_repeat(spark):
     rng = random.Random(3)
     shape = [rng.choice(["{}(", "){}", "[{}]", "+{}", "-{}", "={}", "*{}", "if {}", "return {}", "for {}", "not {}", "{};", "<{}", ">{}", "&{}", "|{}"]) for _ in range(90)]
     text = lambda k, n: " ".join(s.format(f"n{k}_{i}") for i, s in enumerate(shape[:n]))
-    assert generated.describe(text(0, 90), "a.js", generated._Tokens())["repeats"] < 0.2
+    assert generated.describe(text(0, 90), "a.js", generated.tables())["repeats"] < 0.2
     rows = [chunk(k, "c", f"{k}.js", text(k, 90)) for k in range(3)] + [chunk(10 + k, "d", f"s{k}.js", text(10 + k, 25)) for k in range(3)]
     rows += [chunk(20 + k, f"e{k}", f"t{k}.js", text(20 + k, 90)) for k in range(3)]  # one in each of three
     assert {r.file_path for r in generated.found(spark.createDataFrame(rows, CHUNKS)).collect()} == {"0.js", "1.js", "2.js"}
@@ -109,17 +116,23 @@ def test_generated_family_need_not_repeat(spark):
 def test_literal_clusters_are_data(spark):
     blob = lambda k: f'BLOB{k} = "' + "".join(random.Random(k).choices("abcdef0123456789", k=3000)) + '"\n'
     rows = [chunk(k, f"c{k}", f"{k}.py", blob(k)) for k in range(3)] + [chunk(10 + k, "d", f"s{k}.py", f'NAME{k} = "short{k}"\n') for k in range(3)]
-    assert {tuple(r)[1:] for r in generated.judged(spark.createDataFrame(rows, CHUNKS)).collect() if r.reason} == {(f"{k}.py", "data") for k in range(3)}
+    assert {tuple(r)[1:] for r in generated.judged(spark.createDataFrame(rows, CHUNKS)).collect() if r.reason} == {(f"{k}.py", "data", "data") for k in range(3)}
 
 
 def test_generated_verification_is_exact(spark):
     """0.9 of the whole sets are shared, but less than 0.8 of the 256 least hashes; and the other way round."""
     sets = {1: range(1000), 2: range(100, 1000), 3: range(5000, 6000), 4: [*range(5000, 5600), *range(7000, 7400)]}
-    nodes = [(n, "", [n // 3], list(s)) for n, s in sets.items()]
-    table = spark.createDataFrame(nodes, "node long, home string, bands array<long>, words array<long>")
-    assert rows_of(generated._links(table, "bands", "words", generated._WORDS_CLOSE)) == {(1, 2)}
-    masks = table.withColumnRenamed("words", "masks")
-    assert rows_of(generated._links(masks, "bands", "masks", generated._MASKS_CLOSE)) == {(1, 2)}
+    assert links_of(spark, sets, {n: n // 3 for n in sets}) == {(1, 2)}
+
+
+def test_signatures_lose_no_close_pair():
+    """Of pairs of sets with a similarity of 0.8, all agree in enough values of their signatures."""
+    for seed in range(300):
+        items = np.random.default_rng(seed).integers(0, 2**63, 450).astype(np.uint64)
+        a, b = generated.minhash(np.sort(items[:405])), generated.minhash(np.sort(items[45:]))
+        assert (a == b).sum() >= generated.AGREE
+        differ = sum(bin((x ^ y) & (15 << 4 * j)).count("1") > 0 for x, y in zip(generated.nibbles(a), generated.nibbles(b), strict=True) for j in range(16))
+        assert differ <= (a != b).sum()
 
 
 def brute_neighbours(vectors, k, least):

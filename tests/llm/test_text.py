@@ -217,7 +217,7 @@ def test_assemble():
 
 
 def test_file_evidence():
-    tokens = generated._Tokens()
+    tokens = generated.tables()
     why = lambda text, path="src/a.py": generated.describe(text, path, tokens)["reason"]
     assert why("# Code generated by x. DO NOT EDIT.\na = 1") == "generated note" and why("# Once generated, now maintained by hand.\na = 1") is None
     assert why('BANNER = "// DO NOT EDIT, written by {}"') is None and why("// Helpers for code generated by other tools.\n", "a.js") is None
@@ -226,3 +226,5 @@ def test_file_evidence():
     assert why("X = [\n" + "    1, 2, 3, 4,\n" * 30 + "]") == "data"
     assert why("!function(){" + "var a=b(c,1);if(!d)throw e(f);" * 20 + "}();", "a.js") in ("minified", "generated family")
     assert why("") is None
+    licence = "#\n" + "# Permission is granted, free of charge, to any person.\n" * 40
+    assert why(licence + "# Code generated by x. DO NOT EDIT.\na = 1") == "generated note" and why("a = 1\n# Code generated by x. DO NOT EDIT.\n") is None
