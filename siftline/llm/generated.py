@@ -18,7 +18,7 @@ and the exact similarity of the whole sets taken (0.8), which decides:
 
 Masked shingles take twelve tokens, as the masked alphabet is tiny; plain ones take five.
 Files with equal token sets are one node before banding, so copies never make pairs; within a bucket each node
-is compared with the smallest one, and with all others only where that comparison failed.
+is compared with the smallest one, and with all others unless the signatures leave no doubt about that one.
 Clusters are the connected components of the verified links.  ``reason`` is the first evidence found, ``cluster``
 what the clusters say, whatever the file says of itself.
 
@@ -44,7 +44,8 @@ from siftline.session import forget, kept
 CODE = ("py", "rs", "js", "ts", "go", "java")
 MASKED, PLAIN, ROWS, BANDS = 12, 5, 4, 16
 SIMILAR, REPOSITORIES, FAMILY, HOT, LEAST, TELLING, BULK = 0.8, 3, 3, 1000, 30, 80, 1000
-AGREE = 36  # of 64 values of two signatures; at a similarity of 0.8 fewer agree once in 100,000 pairs
+# Of 64 values of two signatures: at a similarity of 0.8 fewer than AGREE agree once in 100,000 pairs, SURE or more twice in 1,000.
+AGREE, SURE = 36, 60
 
 _DIRS = r"(?:^|/)(?:%s)/"
 VENDOR_PATH = re.compile(_DIRS % r"vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|deps|site-packages|Pods")
@@ -295,11 +296,11 @@ def _bits(a: Column, b: Column) -> Column:
     return F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _plausible(x: str, y: str) -> Column:
-    """Whether two nodes (structs n, sign) can be alike: sizes alone rule many pairs out, the signatures most of the rest."""
+def _agree(x: str, y: str, least: int) -> Column:
+    """Whether two nodes (structs n, sign) have near enough sizes to be alike, and signatures that agree in so many values."""
     a, b = F.col(x), F.col(y)
     sizes = 10 * F.least(a["n"], b["n"]) >= round(10 * SIMILAR) * F.greatest(a["n"], b["n"])
-    return sizes & (sum(_bits(a["sign"][i], b["sign"][i]) for i in range(4)) <= ROWS * BANDS - AGREE)
+    return sizes & (sum(_bits(a["sign"][i], b["sign"][i]) for i in range(4)) <= ROWS * BANDS - least)
 
 
 # The exact Jaccard index of whole shingle sets, in whole numbers.
@@ -323,34 +324,31 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFr
     """(a, b), a < b: the close pairs of nodes that share a bucket, but for pairs that are both linked to its least node.
 
     ``nodes`` is as ``_nodes`` gives it, ``sets_of`` gives (kind, set, items) of the wanted (kind, set).
-    Each node first meets the least of its bucket. Those that are not close to it meet all others
-    there, in blocks of HOT, so the connected components are those of all close pairs.
+    Each node first meets the least of its bucket. Those that are not surely close to it, by their signatures, meet all
+    others there, in blocks of HOT, so the connected components are those of all close pairs.
     """
     bucket = F.explode(F.transform("bands", lambda v, i: F.xxhash64("which", "home", i, v))).alias("bucket")
-    keyed = nodes.select("node", F.struct("n", "sign", "kind", "set").alias("x"), bucket)
+    keyed = nodes.select("node", bucket)
     # a bucket's least node and size come before the join, so no bucket has to be in one task
-    shared = nodes.select("node", bucket).groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("held")).filter("held > 1")
-    meet = kept(keyed.join(shared, "bucket").select("bucket", "a", F.col("node").alias("b"), "x", F.ceil(F.col("held") / HOT).cast("int").alias("salts")))
-
-    marks = meet.select(F.col("b").alias("node"), "x").groupBy("node").agg(F.any_value("x").alias("x"))
-    least = marks.withColumnsRenamed({"node": "a", "x": "y"})
-    stars = meet.filter("a < b").select("a", "b", "x").groupBy("a", "b").agg(F.any_value("x").alias("x")).join(least, "a").filter(_plausible("x", "y"))
-    stars = stars.select("a", "b", F.col("x.kind").alias("kind"), F.col("y.set").alias("sa"), F.col("x.set").alias("sb"))
-
-    sets = kept(sets_of(marks.select("x.kind", "x.set").distinct()))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select("kind", F.col("set").alias(s), F.col("items").alias(i)) for s, i in (("sb", "_x"), ("sa", "_y")))
-        return pairs.join(x, ["kind", "sb"]).join(y, ["kind", "sa"]).filter(_CLOSE).select("a", "b")
-
-    first = kept(close(stars))
-    failed = meet.filter("a < b").join(first, ["a", "b"], "left_anti").select("bucket", "b", "x", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"))
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("held")).filter("held > 1")
+    held = keyed.join(shared, "bucket").select("bucket", "a", "node", F.ceil(F.col("held") / HOT).cast("int").alias("salts"))
+    meet = kept(held.join(nodes.select("node", F.struct("n", "sign", "kind", "set").alias("x")), "node").withColumnRenamed("node", "b"))
+
+    marks = meet.select(F.col("b").alias("a"), F.col("x").alias("y")).groupBy("a").agg(F.any_value("y").alias("y"))
+    led = meet.filter("a < b").join(marks, "a")
+    ends = (F.col("a"), F.col("b"), F.col("x.kind").alias("kind"), F.col("y.set").alias("sa"), F.col("x.set").alias("sb"))
+    stars = led.filter(_agree("x", "y", AGREE)).select(*ends)
+    unsure = led.filter(~_agree("x", "y", SURE)).select("bucket", "b", "x", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"))
     others = meet.filter("a < b").select("bucket", F.col("b").alias("c"), F.col("x").alias("y"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    met = failed.join(others, ["bucket", "salt"]).filter((F.col("b") != F.col("c")) & _plausible("x", "y"))
+    met = unsure.join(others, ["bucket", "salt"]).filter((F.col("b") != F.col("c")) & _agree("x", "y", AGREE))
     low, high = (f(F.struct("b", "x"), F.struct(F.col("c").alias("b"), F.col("y").alias("x"))) for f in (F.least, F.greatest))
-    rest = met.select(low.alias("l"), high.alias("h")).select(F.col("l.b").alias("a"), F.col("h.b").alias("b"), F.col("l.x.kind").alias("kind"), F.col("l.x.set").alias("sa"), F.col("h.x.set").alias("sb")).distinct()
-    out = kept(first.unionByName(close(rest)))
-    forget(meet, sets, first)
+    rest = met.select(low.alias("l"), high.alias("h")).select(F.col("l.b").alias("a"), F.col("h.b").alias("b"), F.col("l.x.kind").alias("kind"), F.col("l.x.set").alias("sa"), F.col("h.x.set").alias("sb"))
+    pairs = kept(stars.unionByName(rest).distinct())
+
+    sets = kept(sets_of(pairs.select("kind", F.explode(F.array("sa", "sb")).alias("set")).distinct()))
+    x, y = (sets.select("kind", F.col("set").alias(k), F.col("items").alias(i)) for k, i in (("sb", "_x"), ("sa", "_y")))
+    out = kept(pairs.join(x, ["kind", "sb"]).join(y, ["kind", "sa"]).filter(_CLOSE).select("a", "b"))
+    forget(meet, pairs, sets)
     return out
 
 
