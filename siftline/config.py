@@ -9,15 +9,23 @@ from dataclasses import dataclass
 
 # File extensions that are indexed, folders and files that are not.
 EXTENSIONS = (
-    "rs py js jsx ts tsx java go c cpp cc cxx h hpp cs php rb swift kt kts scala sc m mm sh bash zsh fish ps1 sql pl pm lua r R jl dart nim cr elm erl hrl ex exs clj cljs cljc hs lhs fs fsi fsx "
-    "ml mli v vh vhd sv svh cob cbl cpy f f90 f95 f03 f08 adb ads pas pp inc asm s S nasm cmake xml html htm css scss sass less json yaml yml toml ini cfg conf md markdown rst tex bib proto "
-    "graphql gql prisma vue svelte sol vy zig odin d di nims ecr wat wast wit glsl vert frag hlsl wgsl metal"
-).split()
-SKIP_DIRS = ".git .svn .hg node_modules target build dist __pycache__ .pytest_cache .mypy_cache venv .venv env .env vendor bower_components .idea .vscode .vs bin obj pkg .gradle .mvn Pods .cache".split()
+    ".rs", ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".cs", ".php", ".rb", ".swift", ".kt",
+    ".kts", ".scala", ".sc", ".m", ".mm", ".sh", ".bash", ".zsh", ".fish", ".ps1", ".sql", ".pl", ".pm", ".lua", ".r", ".R", ".jl", ".dart", ".nim",
+    ".cr", ".elm", ".erl", ".hrl", ".ex", ".exs", ".clj", ".cljs", ".cljc", ".hs", ".lhs", ".fs", ".fsi", ".fsx", ".ml", ".mli", ".v", ".vh", ".vhd",
+    ".sv", ".svh", ".cob", ".cbl", ".cpy", ".f", ".f90", ".f95", ".f03", ".f08", ".adb", ".ads", ".pas", ".pp", ".inc", ".asm", ".s", ".S", ".nasm",
+    ".cmake", ".xml", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".md",
+    ".markdown", ".rst", ".tex", ".bib", ".proto", ".graphql", ".gql", ".prisma", ".vue", ".svelte", ".sol", ".vy", ".zig", ".odin", ".d", ".di",
+    ".nims", ".ecr", ".wat", ".wast", ".wit", ".glsl", ".vert", ".frag", ".hlsl", ".wgsl", ".metal",
+)
+SKIP_DIRS = (
+    ".git", ".svn", ".hg", "node_modules", "target", "build", "dist", "__pycache__", ".pytest_cache", ".mypy_cache", "venv", ".venv", "env", ".env",
+    "vendor", "bower_components", ".idea", ".vscode", ".vs", "bin", "obj", "pkg", ".gradle", ".mvn", "Pods", ".cache",
+)
 SKIP_FILES = (
-    ".DS_Store Thumbs.db *.pyc *.pyo *.pyd *.so *.dylib *.dll *.exe *.out *.app *.lock *.log *.tmp *.temp *.bak *.swp *.swo *~ .env .env.local "
-    "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock composer.lock Gemfile.lock Podfile.lock poetry.lock go.sum"
-).split()
+    ".DS_Store", "Thumbs.db", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dylib", "*.dll", "*.exe", "*.out", "*.app", "*.lock", "*.log", "*.tmp", "*.temp",
+    "*.bak", "*.swp", "*.swo", "*~", ".env", ".env.local", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "composer.lock",
+    "Gemfile.lock", "Podfile.lock", "poetry.lock", "go.sum",
+)
 
 
 @dataclass(frozen=True)
@@ -38,9 +46,9 @@ class EngineConfig:
     rrf_k: int = 60
     batch_size: int = 32
     token_budget: str = "medium"
-    extensions: tuple[str, ...] = tuple(EXTENSIONS)
-    skip_dirs: tuple[str, ...] = tuple(SKIP_DIRS)
-    skip_files: tuple[str, ...] = tuple(SKIP_FILES)
+    extensions: tuple[str, ...] = EXTENSIONS
+    skip_dirs: tuple[str, ...] = SKIP_DIRS
+    skip_files: tuple[str, ...] = SKIP_FILES
 
     def __post_init__(self):
         if not 0 <= self.chunk_overlap < self.chunk_size:

@@ -6,20 +6,32 @@ class SiftlineError(Exception):
 
 
 class ConfigError(SiftlineError):
-    pass
+    """A setting is missing or has no meaning."""
 
 
 class CodebaseNotFound(SiftlineError):
-    pass
+    """No codebase has this id, name or path."""
 
 
 class NotIndexed(SiftlineError):
-    pass
+    """The folder holds no collection."""
 
 
 class BadQuery(SiftlineError):
-    pass
+    """An argument of a query has no meaning."""
 
 
 class ModelUnavailable(SiftlineError):
-    pass
+    """The model of vectors cannot be used as asked."""
+
+
+class UnreadableFile(SiftlineError):
+    """A file cannot be read."""
+
+
+class ManifestError(SiftlineError):
+    """A manifest is not what it should be."""
+
+
+class SessionNotFound(SiftlineError):
+    """No session has this id."""

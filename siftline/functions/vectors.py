@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODELS = {"minilm": 384, "nomic": 768, "nemotron": 2048}
 FAR = 3.4028234663852886e38  # the greatest float: no distance is defined
 
 

@@ -62,11 +62,13 @@ def import_edges(node_rows: DataFrame) -> DataFrame:
 
 
 def import_edges_by_containment(imports: DataFrame, defined: DataFrame) -> DataFrame:
-    """(import_name, defined_name) where either contains the other: a join on shared three-letter grams, then the exact test.
+    """(import_name, defined_name) where either contains the other: a join on shared grams of up to three letters, then the exact test.
 
-    Names under three letters meet by equality.
+    Empty names meet none.
     """
-    grams = lambda c: F.array_distinct(F.when(F.length(c) < 3, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3)))))
+    imports, defined = imports.filter("name <> ''"), defined.filter("name <> ''")
+    each = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
+    grams = lambda c: F.array_distinct(F.flatten(F.array(*[F.when(F.length(c) >= n, each(c, n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
     a = imports.select(F.col("name").alias("import_name")).distinct()
     b = defined.select(F.col("name").alias("defined_name")).distinct()
     # the shorter name's first gram occurs in the longer one

@@ -20,7 +20,7 @@ def skipped(path: Column, config: EngineConfig | None = None) -> Column:
     ends = [F.endswith(name, F.lit(x[1:])) for x in c.skip_files if x.startswith("*")]
     exact = name.isin([x for x in c.skip_files if not x.startswith("*")])
     ext = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
-    unknown = (ext != "") & ~ext.isin([x.lower() for x in c.extensions])
+    unknown = (ext != "") & ~F.concat(F.lit("."), ext).isin([x.lower() for x in c.extensions])
     bad = inside | exact | unknown
     for e in ends:
         bad = bad | e

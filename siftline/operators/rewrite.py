@@ -9,26 +9,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A term and its synonyms.
-THESAURUS = """
-auth: authentication, login, logout, oauth, jwt, token, credential, session, authorize
-authentication: auth, login, oauth, jwt, token, credential, session, authorize
-login: auth, authentication, signin, credential, session
-token: jwt, oauth, authentication, auth, bearer, access token
-db: database, sql, query, postgresql, mysql, sqlite, mongodb, redis
-database: db, sql, query, postgresql, mysql, sqlite, mongodb, redis, datastore
-query: sql, database, db, select, filter, search
-api: endpoint, rest, http, request, service, interface
-error: exception, fail, failure, invalid, err
-config: configuration, setting, option, preference
-async: asynchronous, await, promise, future, concurrent, parallel
-file: filesystem, read, write, io, stream, path
-cache: caching, memoize, store, buffer, redis, memcached
-test: testing, unit, integration, spec, mock, fixture
-function: method, procedure, routine, fn, func
-hash: digest, checksum, md5, sha, bcrypt, encrypt
-queue: message queue, broker, stream, kafka, rabbitmq
-index: lookup, posting, inverted index, search
-"""
+THESAURUS = {
+    "auth": ("authentication", "login", "logout", "oauth", "jwt", "token", "credential", "session", "authorize"),
+    "authentication": ("auth", "login", "oauth", "jwt", "token", "credential", "session", "authorize"),
+    "login": ("auth", "authentication", "signin", "credential", "session"),
+    "oauth": ("authentication", "auth", "token", "authorization"),
+    "jwt": ("token", "authentication", "auth", "bearer", "json web token"),
+    "token": ("jwt", "oauth", "authentication", "auth", "bearer", "access token"),
+    "db": ("database", "sql", "query", "postgresql", "mysql", "sqlite", "mongodb", "redis"),
+    "database": ("db", "sql", "query", "postgresql", "mysql", "sqlite", "mongodb", "redis", "datastore"),
+    "query": ("sql", "database", "db", "select", "filter", "search"),
+    "sql": ("database", "query", "postgresql", "mysql", "mariadb"),
+    "api": ("endpoint", "rest", "http", "request", "service", "interface"),
+    "rest": ("api", "http", "endpoint", "restful", "resource"),
+    "endpoint": ("api", "route", "url", "path", "handler"),
+    "http": ("request", "response", "rest", "api", "network"),
+    "error": ("exception", "fail", "failure", "invalid", "err"),
+    "exception": ("error", "fail", "failure", "throw", "catch"),
+    "validate": ("validation", "check", "verify", "sanitize", "ensure"),
+    "config": ("configuration", "setting", "option", "preference"),
+    "env": ("environment", "config", "variable", "setting"),
+    "async": ("asynchronous", "await", "promise", "future", "concurrent", "parallel"),
+    "thread": ("async", "concurrent", "parallel", "task", "worker", "process"),
+    "file": ("filesystem", "read", "write", "io", "stream", "path"),
+    "read": ("load", "fetch", "get", "retrieve", "parse"),
+    "write": ("save", "store", "persist", "output", "export"),
+    "test": ("testing", "unit", "integration", "spec", "mock", "fixture"),
+    "cache": ("caching", "memoize", "store", "buffer", "redis", "memcached"),
+    "log": ("logging", "debug", "info", "warn", "error", "trace"),
+    "security": ("secure", "encryption", "crypt", "hash", "salt", "cipher", "tls", "ssl"),
+    "hash": ("digest", "checksum", "md5", "sha", "bcrypt", "encrypt"),
+    "function": ("method", "procedure", "routine", "fn", "func"),
+    "class": ("type", "struct", "object", "prototype", "model"),
+    "module": ("package", "library", "component", "namespace", "crate"),
+    "list": ("array", "vector", "sequence", "collection", "enumerable"),
+    "map": ("dictionary", "hashmap", "object", "associative", "key-value"),
+    "user": ("account", "member", "person", "customer", "client", "principal"),
+    "queue": ("message queue", "broker", "stream", "kafka", "rabbitmq"),
+}
 # Misspellings and what they stand for.
 TYPOS = [
     ("teh", "the"), ("adn", "and"), ("thsi", "this"), ("taht", "that"), ("wihch", "which"), ("functon", "function"), ("fucntion", "function"), ("functoin", "function"),
@@ -43,8 +61,9 @@ ACRONYMS = [
 ]
 
 
-def thesaurus(spark: SparkSession, text: str = THESAURUS) -> DataFrame:
-    rows = [(k.strip(), s.strip()) for line in text.strip().splitlines() for k, v in [line.split(":", 1)] for s in v.split(",")]
+def thesaurus(spark: SparkSession, terms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(term, synonym), one row a pair."""
+    rows = [(t, s) for t, synonyms in (THESAURUS if terms is None else terms).items() for s in synonyms]
     return spark.createDataFrame(rows, "term string, synonym string").distinct()
 
 
@@ -52,14 +71,45 @@ def _words(query: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""))
 
 
+def _parts(text: Column) -> Column:
+    """All distinct substrings."""
+    at = F.sequence(F.lit(1), F.length(text))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substr(text, i, n)))))
+
+
+def containing(words: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(word, term): terms with a synonym that contains the word or is contained in it, by equal substrings instead of all pairs."""
+    s = synonyms.filter("synonym <> ''")
+    longer = s.select("term", F.explode(_parts(F.col("synonym"))).alias("word")).join(words.select("word").distinct(), "word")
+    shorter = words.select("word", F.explode(_parts(F.col("word"))).alias("synonym")).distinct().join(s, "synonym").select("term", "word")
+    return longer.unionByName(shorter).select("word", "term").distinct()
+
+
 def expanded(queries: DataFrame, synonyms: DataFrame, query: str = "query_text") -> DataFrame:
-    """(query, expansion): the query itself, and with each word replaced by its synonyms or by a term it is a synonym of."""
+    """(query, expansion): the query itself, and with each word replaced by its synonyms, or by terms with a synonym that contains the word or is part of it."""
     words = queries.select(F.col(query)).distinct().withColumn("word", F.explode(_words(F.col(query))))
-    pairs = synonyms.select(F.col("term").alias("word"), F.col("synonym").alias("other")).unionByName(synonyms.select(F.col("synonym").alias("word"), F.col("term").alias("other"))).distinct()
+    pairs = synonyms.select(F.col("term").alias("word"), F.col("synonym").alias("other")).unionByName(containing(words.select("word").distinct(), synonyms).withColumnRenamed("term", "other")).distinct()
     changed = words.join(pairs, "word").select(query, F.expr(f"replace(lower({query}), word, other)").alias("expansion"))
     return queries.select(query, F.lower(query).alias("expansion")).unionByName(changed).distinct()
 
 
+def processed(queries: DataFrame, synonyms: DataFrame, known: DataFrame | None = None, expand: bool = True, most: int = 2, query: str = "query_text") -> DataFrame:
+    """(query, corrected, expanded, expansion_terms): spelling first (by ``known`` terms, the thesaurus's where none are given), then synonyms.
+
+    Without ``expand`` the corrected query stands alone; a blank query stays as it is.
+    """
+    terms = known if known is not None else synonyms.select("term").unionByName(synonyms.select(F.col("synonym").alias("term"))).distinct()
+    each = queries.select(F.col(query)).distinct().select(query, F.posexplode_outer(F.filter(F.split(query, r"\s+"), lambda w: w != "")).alias("at", "word"))
+    fixed = each.join(corrected(each.select("word").dropna().distinct(), terms, most), "word", "left")
+    whole = fixed.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "corrected"))), lambda x: x["corrected"]), " ").alias("corrected"))
+    if not expand:
+        return whole.withColumn("expanded", F.col("corrected")).withColumn("expansion_terms", F.array("corrected"))
+    said = whole.select("corrected").distinct()
+    text = expanded_for_text_search(said, synonyms, "corrected").withColumnRenamed("terms", "expanded")
+    all_terms = expanded(said, synonyms, "corrected").groupBy("corrected").agg(F.array_sort(F.collect_set("expansion")).alias("expansion_terms"))
+    return whole.join(text, "corrected", "left").join(all_terms, "corrected", "left").select(query, "corrected", "expanded", "expansion_terms")
+
+
 def expanded_for_text_search(queries: DataFrame, synonyms: DataFrame, query: str = "query_text") -> DataFrame:
     """(query, terms): words longer than two and their synonyms, sorted and joined by OR."""
     words = queries.select(F.col(query)).distinct().withColumn("word", F.explode_outer(_words(F.col(query))))

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftline.config import EngineConfig
+from siftline.errors import BadQuery
 from siftline.functions import text as T
 from siftline.functions import vectors as V
 from siftline.session import cut, spread
 
 DEFAULTS = EngineConfig()
+SALTS = 8  # tasks that write one bucket of an index
 
 
 @dataclass(frozen=True)
@@ -94,11 +96,11 @@ def normalised(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("score", F.when(most > 0, F.col("score") / most).otherwise(F.col("score")))
 
 
-def full_text(chunks: DataFrame, query: str, limit: int = 10, codebase: str | None = None, filters: Filters | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """(id, score, rank): the best rows by BM25, scores over the best one's."""
+def full_text(chunks: DataFrame, query: str, limit: int = 10, codebase: str | None = None, filters: Filters | None = None, config: EngineConfig = DEFAULTS, index: Index | None = None) -> DataFrame:
+    """(id, score, rank): the best rows by BM25, scores over the best one's; read from an index of the same rows where one is given."""
+    scored = index.bm25(query, config) if index is not None else bm25(chunks, query, None, config)
     if codebase is None and filters is None:
-        return normalised(top(bm25(chunks, query, None, config), limit))
-    scored = bm25(chunks, query, None, config)
+        return normalised(top(scored, limit))
     allowed = filtered(chunks, codebase, filters).select("id")
     return normalised(top(scored.join(allowed, "id", "left_semi"), limit))
 
@@ -128,6 +130,12 @@ def popularity(stats: DataFrame, query: str) -> float | None:
     return None if row is None or row[0] is None else min(row[0], 100) / 100.0
 
 
+def popularity_weights(stats: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """(query_text, popularity, fts_weight, vector_weight) of each known query: the more popular, the more its vector counts."""
+    p = stats.groupBy("query_text").agg((F.least(F.max("search_count"), F.lit(100)) / 100.0).alias("popularity"))
+    return p.withColumn("fts_weight", 0.5 * config.fts_weight + 0.5 * (1 - F.col("popularity"))).withColumn("vector_weight", 0.5 * config.vector_weight + 0.5 * F.col("popularity"))
+
+
 def fused_ranks(ids: DataFrame, k: int = 60) -> DataFrame:
     """(id, rrf): the sum of 1 / (k + rank) over lists (id, rank)."""
     return ids.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
@@ -151,7 +159,7 @@ def fuzzy(content: Column, query: str, most: int = 2) -> Column:
 
 def hybrid(
     chunks: DataFrame, query: str, embedding: list[float], limit: int = 10, codebase: str | None = None, filters: Filters | None = None,
-    clicks: DataFrame | None = None, stats: DataFrame | None = None, use_fuzzy: bool = False, config: EngineConfig = DEFAULTS, vector_only: bool = False, leaky: bool = False,
+    clicks: DataFrame | None = None, stats: DataFrame | None = None, use_fuzzy: bool = False, config: EngineConfig = DEFAULTS, vector_only: bool = False, leaky: bool = False, index: Index | None = None,
 ) -> DataFrame:
     """The best chunks by full text and vectors, adjusted by clicks, languages, coverage and spelling.
 
@@ -166,9 +174,11 @@ def hybrid(
     if p is not None:
         wf, wv = 0.5 * wf + 0.5 * (1 - p), 0.5 * wv + 0.5 * p
     wide = 3 * limit
+    if limit < 1:
+        raise BadQuery("a search gives at least one row")
     sides = [vector(chunks, embedding, wide, codebase, None if leaky else filters).withColumn("side", F.lit(1))]
     if not vector_only:
-        sides.insert(0, full_text(chunks, query, wide, codebase, filters, config).withColumn("side", F.lit(0)))
+        sides.insert(0, full_text(chunks, query, wide, codebase, filters, config, index).withColumn("side", F.lit(0)))
     both = cut(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]))  # at most 6 x limit rows, used three times
 
     if limit <= 1000:  # the identifiers reach the scan
@@ -213,44 +223,49 @@ def shown(results: DataFrame, codebases: DataFrame | None = None) -> DataFrame:
 
 
 class Index:
-    """Postings, lengths and totals of a collection, stored in a folder."""
+    """Postings with the length of their row, lengths and totals of a collection, stored in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
-    def _postings(self, chunks: DataFrame) -> DataFrame:
-        one = lambda c, w: chunks.select("id", F.explode(T.tokens_of(F.coalesce(c, F.lit("")))).alias("term"), F.lit(w).alias("w"))
-        both = one("content", DEFAULTS.content_weight).unionByName(one("file_path", DEFAULTS.path_weight))
-        counted = both.groupBy("term", "id").agg(F.sum("w").alias("tf"))
-        return counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+    def _counted(self, chunks: DataFrame) -> DataFrame:
+        """(id, dl, words) with words (term, w) of content and path; words are cut out once."""
+        cut_out = lambda c: T.tokens_of(F.coalesce(c, F.lit("")))
+        rows = chunks.select("id", cut_out("content").alias("c"), cut_out("file_path").alias("p"))
+        weighed = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
+        return rows.select("id", (F.size("c") + F.size("p")).alias("dl"), F.concat(weighed(F.col("c"), DEFAULTS.content_weight), weighed(F.col("p"), DEFAULTS.path_weight)).alias("words"))
+
+    def _write(self, postings: DataFrame, lengths: DataFrame, folder: str) -> None:
+        # a common term is written by several tasks, each with its own part of the ids
+        spread_out = postings.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition("bucket", "_salt").drop("_salt")
+        spread_out.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        self.spark.read.parquet(f"{folder}/lengths").agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
 
-    @staticmethod
-    def _lengths(chunks: DataFrame) -> DataFrame:
-        size = lambda c: F.size(T.tokens_of(F.coalesce(c, F.lit(""))))
-        return chunks.select("id", (size("content") + size("file_path")).alias("dl"))
+    def _postings(self, counted: DataFrame) -> DataFrame:
+        each = counted.select("id", "dl", F.explode("words").alias("x")).groupBy("id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+        return each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
 
     def build(self, chunks: DataFrame) -> Index:
-        self._postings(chunks).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        self._lengths(chunks).write.mode("overwrite").parquet(f"{self.folder}/lengths")
+        counted = self._counted(spread(chunks.select("id", "content", "file_path")))
+        self._write(self._postings(counted), counted.select("id", "dl"), self.folder)
         return self
 
     def updated(self, chunks: DataFrame, changed: DataFrame, folder: str) -> Index:
         """A new index in another folder: postings of ``changed`` ids (id) anew from ``chunks``, all others as they are."""
-        new, fresh = Index(self.spark, folder, self.buckets), chunks.join(changed, "id", "left_semi")
-        for name, made in (("postings", self._postings(fresh)), ("lengths", self._lengths(fresh))):
-            old = self.spark.read.parquet(f"{self.folder}/{name}").join(changed, "id", "left_anti")
-            out = old.unionByName(made)
-            (out.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket") if name == "postings" else out.write).parquet(f"{folder}/{name}")
+        fresh = self._counted(chunks.join(changed, "id", "left_semi"))
+        old = [self.spark.read.parquet(f"{self.folder}/{t}").join(changed, "id", "left_anti") for t in ("postings", "lengths")]
+        new = Index(self.spark, folder.rstrip("/"), self.buckets)
+        new._write(old[0].unionByName(self._postings(fresh)), old[1].unionByName(fresh.select("id", "dl")), new.folder)
         return new
 
     def bm25(self, query: str, config: EngineConfig = DEFAULTS) -> DataFrame:
-        """(id, score) as by ``bm25`` over the same rows."""
+        """(id, score) as by ``bm25`` over the same rows; reads the buckets of the query's terms only."""
         terms = T.query_terms(query)
-        postings, lengths = (self.spark.read.parquet(f"{self.folder}/{t}") for t in ("postings", "lengths"))
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).collect()]
-        own = postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        postings, totals = (self.spark.read.parquet(f"{self.folder}/{t}") for t in ("postings", "totals"))
+        bucket = F.pmod(F.xxhash64(F.lit("")), F.lit(1)) if not terms else F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms])
+        own = postings.filter(F.array_contains(bucket, F.col("bucket")) & F.col("term").isin(terms)) if terms else postings.limit(0)
         n = own.groupBy("term").agg(F.count("*").cast("double").alias("n"))
-        totals = lengths.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("mean"))
-        rows = own.join(F.broadcast(n), "term").join(lengths, "id").crossJoin(F.broadcast(totals))  # one row a query term; one row
+        rows = own.join(F.broadcast(n), "term").crossJoin(F.broadcast(totals))  # one row a query term; one row
         score = _bm25(F.col("tf"), F.col("n"), F.col("docs"), F.col("dl"), F.col("mean"), config.k1, config.b)
         return rows.groupBy("id").agg(T.stable_score(F.sum(score)).alias("score"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftline.config import EngineConfig
 from siftline.functions import languages, vectors
 from siftline.functions import text as T
 from siftline.operators import catalog, chunking, enrich, graph, paths, rewrite, search, sessions, sharding
 from siftline.operators.search import Filters
-from siftline.session import cut, read, spread
+from siftline.session import cut, read, spread, tables_dir
 from siftline.streaming import feedback
 
 QUERY = "stale token window"
@@ -70,12 +71,12 @@ query(
 query("first_chunks", "SELECT codebase_id, file_path, arg_min(hash, id) AS hash, min(id) AS id FROM chunks GROUP BY 1, 2")(lambda s, d: catalog.first_chunks(chunks(s, d), ["hash"]))
 query(
     "upsert_chunks",
-    """WITH new AS (SELECT codebase_id, file_path, start_line, end_line, max(id) AS id FROM chunks WHERE id % 3 = 0 GROUP BY ALL), old AS (SELECT codebase_id, file_path, start_line, end_line, id FROM chunks WHERE id % 3 = 1)
+    """WITH new AS (SELECT codebase_id, file_path, start_line, end_line, max(id) AS id FROM chunks WHERE id % 3 = 0 GROUP BY ALL), old AS (SELECT codebase_id, file_path, start_line, end_line, id FROM chunks WHERE id % 3 <> 0)
        SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.codebase_id IS NOT DISTINCT FROM old.codebase_id AND new.file_path IS NOT DISTINCT FROM old.file_path AND new.start_line IS NOT DISTINCT FROM old.start_line AND new.end_line IS NOT DISTINCT FROM old.end_line)
        UNION ALL SELECT * FROM new""",
-)(lambda s, d: (lambda c: catalog.upsert(c.filter("id % 3 = 1"), c.filter("id % 3 = 0"), catalog.CHUNK_KEY, "id"))(chunks(s, d).select(*catalog.CHUNK_KEY, "id")))
-query("delete_file", f"SELECT codebase_id, file_path, count(*) AS n FROM chunks WHERE NOT (codebase_id = '{CODEBASE}' AND file_path LIKE '%rewrite_page.py') GROUP BY ALL")(
-    lambda s, d: chunks(s, d).filter(~((F.col("codebase_id") == CODEBASE) & F.endswith("file_path", F.lit("rewrite_page.py")))).groupBy("codebase_id", "file_path").agg(F.count("*").alias("n"))
+)(lambda s, d: (lambda c: catalog.upsert(c.filter("id % 3 <> 0"), c.filter("id % 3 = 0"), catalog.CHUNK_KEY, "id"))(chunks(s, d).select(*catalog.CHUNK_KEY, "id")))
+query("delete_file", f"SELECT codebase_id, file_path, count(*) AS n FROM chunks WHERE (codebase_id = '{CODEBASE}' AND file_path = (SELECT min(file_path) FROM chunks WHERE codebase_id = '{CODEBASE}')) IS NOT TRUE GROUP BY ALL")(
+    lambda s, d: (lambda c: catalog.without_file(c, CODEBASE, c.filter(F.col("codebase_id") == CODEBASE).agg(F.min("file_path")).first()[0]).groupBy("codebase_id", "file_path").agg(F.count("*").alias("n")))(chunks(s, d))
 )
 query("delete_codebase", f"SELECT id FROM chunks WHERE codebase_id IS DISTINCT FROM '{CODEBASE}'")(lambda s, d: catalog.without_codebase(chunks(s, d), CODEBASE).select("id"))
 query(
@@ -114,7 +115,8 @@ def _fts(n: int, where: str = "true") -> str:
 
 query("bm25_scores", f"WITH {_BM25} SELECT id, score FROM bm")(lambda s, d: search.bm25(chunks(s, d), QUERY))
 query("fts_match", f"WITH {_BM25} SELECT id FROM bm")(lambda s, d: search.bm25(chunks(s, d), QUERY).select("id"))
-query("bm25_topk_normalized", f"WITH {_BM25} SELECT id, round(score, 9) AS score, rank FROM ({_fts(30)})")(lambda s, d: search.full_text(chunks(s, d), QUERY, 30).withColumn("score", F.round("score", 9)))
+query("bm25_topk_normalized", f"WITH {_BM25} SELECT id, round(score, 9) AS score, rank FROM ({_fts(30)})")(lambda s, d: search.full_text(chunks(s, d), QUERY, 30, index=indexed(s, d)).withColumn("score", F.round("score", 9)))
+query("bm25_topk_scanned", f"WITH {_BM25} SELECT id, round(score, 9) AS score, rank FROM ({_fts(30)})")(lambda s, d: search.full_text(chunks(s, d), QUERY, 30).withColumn("score", F.round("score", 9)))
 query("fts_filtered", f"WITH {_BM25} SELECT id, round(score, 9) AS score, rank FROM ({_fts(20, f'''codebase_id = '{CODEBASE}' AND language = 'python' AND lower(file_path) LIKE '%.py' AND modified_at > 1720000000''')})")(
     lambda s, d: search.full_text(chunks(s, d), QUERY, 20, CODEBASE, Filters(language="python", file_type="PY", after=1720000000)).withColumn("score", F.round("score", 9))
 )
@@ -139,10 +141,30 @@ query("rrf_fusion", f"""WITH {_BM25}, f AS ({_fts(30)}), v AS ({_top(f'(SELECT i
 )
 _COVER = "(" + " + ".join(f"contains(lower(coalesce(content, '')), '{w}')::INT" for w in QUERY.split()) + f")::DOUBLE / {len(QUERY.split())}"
 query("coverage", f"SELECT id, round({_COVER}, 9) AS coverage FROM chunks")(lambda s, d: chunks(s, d).select("id", F.round(T.coverage(QUERY, F.coalesce("content", F.lit(""))), 9).alias("coverage")))
-_NEAR = lambda w: f"""CASE WHEN contains(lower(content), '{w}') THEN 1.0 ELSE coalesce((SELECT CASE WHEN min(levenshtein('{w}', x)) <= 2 THEN 1.0 - min(levenshtein('{w}', x)) / 3.0 ELSE 0.0 END FROM unnest(regexp_split_to_array(lower(content), '\\s+')) AS t(x) WHERE x <> '' AND abs(length(x) - {len(w)}) <= 2), 0.0) END"""
-query("fuzzy_boost", f"SELECT id, round(({' + '.join(_NEAR(w) for w in 'stale tokn wndow'.split())}) / 3.0, 6) AS fuzzy FROM chunks WHERE content IS NOT NULL AND regexp_full_match(content, '[\\x00-\\x7f]*')")(
-    lambda s, d: chunks(s, d).filter(F.col("content").rlike(r"^[\x00-\x7f]*$")).select("id", F.round(search.fuzzy(F.col("content"), "stale tokn wndow"), 6).alias("fuzzy"))
+# edits are counted in letters: a letter that is not ASCII is as far from the query's as any other
+_NEAR = lambda w: f"""CASE WHEN contains(lower(content), '{w}') THEN 1.0 ELSE coalesce((SELECT CASE WHEN min(levenshtein('{w}', x)) <= 2 THEN 1.0 - min(levenshtein('{w}', x)) / 3.0 ELSE 0.0 END FROM unnest(regexp_split_to_array(regexp_replace(lower(content), '[^\\x00-\\x7f]', '~', 'g'), '\\s+')) AS t(x) WHERE x <> '' AND abs(length(x) - {len(w)}) <= 2), 0.0) END"""
+query("fuzzy_boost", f"SELECT id, round(({' + '.join(_NEAR(w) for w in 'stale tokn wndow'.split())}) / 3.0, 6) AS fuzzy FROM chunks WHERE content IS NOT NULL")(
+    lambda s, d: chunks(s, d).filter("content is not null").select("id", F.round(search.fuzzy(F.col("content"), "stale tokn wndow"), 6).alias("fuzzy"))
 )
+query("popularity_weights", "SELECT query_text, p AS popularity, round(0.5 * 0.6 + 0.5 * (1 - p), 6) AS fts_weight, round(0.5 * 0.4 + 0.5 * p, 6) AS vector_weight FROM (SELECT query_text, least(search_count, 100) / 100.0 AS p FROM query_stats)")(
+    lambda s, d: search.popularity_weights(read(s, d, "query_stats")).withColumn("fts_weight", F.round("fts_weight", 6)).withColumn("vector_weight", F.round("vector_weight", 6))
+)
+_IGNORED = ["tests/", "*.min.js", "/docs/**", "*_generated.*", "!keep_generated.go", "build/"]
+query("gitignore_filter", """SELECT DISTINCT file_path FROM (SELECT file_path, string_split(file_path, '/') AS parts, string_split(file_path, '/')[-1] AS name FROM chunks WHERE file_path IS NOT NULL)
+    WHERE NOT (list_contains(parts[:-2], 'tests') OR list_contains(parts[:-2], 'build') OR parts[1] = 'docs' AND len(parts) > 1 OR ends_with(name, '.min.js') OR (regexp_matches(name, '_generated\\.') AND name <> 'keep_generated.go'))""")(
+    lambda s, d: paths.not_ignored(chunks(s, d).filter("file_path is not null").select(F.col("file_path").alias("path")).distinct(), paths.rules(s.createDataFrame([(".gitignore", "\n".join(_IGNORED))], "path string, content string"))).select(F.col("path").alias("file_path"))
+)
+
+
+_INDEXES: dict = {}
+
+
+def indexed(s, d):
+    """The search index of the chunks below a folder, built once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.Index(s, f"{tables_dir(s)}/index-{len(_INDEXES)}").build(chunks(s, d))
+    return _INDEXES[key]
 
 
 def _hybrid_sql(codebase: str | None, clicks: bool, where: str = "true", vector_where: str | None = None) -> str:
@@ -164,7 +186,8 @@ def _hybrid_sql(codebase: str | None, clicks: bool, where: str = "true", vector_
     SELECT t.id, c.codebase_id, c.file_path, c.start_line, c.end_line, c.language, t.score, t.rank FROM ({_top('final', 10)}) t JOIN chunks c ON c.id = t.id"""
 
 
-query("hybrid_search", _hybrid_sql(None, True))(lambda s, d: search.hybrid(chunks(s, d), QUERY, VECTOR, 10, clicks=read(s, d, "search_clicks")))
+query("hybrid_search", _hybrid_sql(None, True))(lambda s, d: search.hybrid(chunks(s, d), QUERY, VECTOR, 10, clicks=read(s, d, "search_clicks"), index=indexed(s, d)))
+query("hybrid_search_scanned", _hybrid_sql(None, True))(lambda s, d: search.hybrid(chunks(s, d), QUERY, VECTOR, 10, clicks=read(s, d, "search_clicks")))
 query("hybrid_search_codebase", _hybrid_sql(CODEBASE, True))(lambda s, d: search.hybrid(chunks(s, d), QUERY, VECTOR, 10, CODEBASE, clicks=read(s, d, "search_clicks")))
 query("hybrid_search_filtered", _hybrid_sql(None, False, "language = 'python'"))(lambda s, d: search.hybrid(chunks(s, d), QUERY, VECTOR, 10, filters=Filters(language="python")))
 query("hybrid_search_leaky", _hybrid_sql(None, False, "language = 'python'", "true"))(lambda s, d: search.hybrid(chunks(s, d), QUERY, VECTOR, 10, filters=Filters(language="python"), leaky=True))
@@ -198,33 +221,48 @@ query("token_budget", """SELECT DISTINCT token_budget, t AS tokens, t * 4 AS cha
 query("term_statistics", r"SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+')) AS term FROM chunks) GROUP BY 1")(
     lambda s, d: chunks(s, d).select("id", F.explode(T.tokens_of(F.coalesce("content", F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
 )
-_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in languages.table().items()) + "}"
-query("detect_language", f"""SELECT DISTINCT file_path, coalesce(m[name], CASE WHEN contains(name, '.') AND NOT regexp_full_match(name, '\\.[^.]*') THEN m['.' || string_split(name, '.')[-1]] END, 'unknown') AS detected
-    FROM (SELECT file_path, string_split(file_path, '/')[-1] AS name, {_KNOWN} AS m FROM chunks)""")(lambda s, d: chunks(s, d).select("file_path").distinct().select("file_path", languages.detect(F.col("file_path")).alias("detected")))
-query("skip_file_predicate")(lambda s, d: chunks(s, d).select("file_path").distinct().select("file_path", paths.skipped(F.col("file_path")).alias("skipped")))
+# said again for the names that occur in the tables, so that the table of the library is checked
+_NAMED = {
+    "python": ("py",), "rust": ("rs",), "javascript": ("js", "jsx"), "typescript": ("ts", "tsx"), "go": ("go",), "java": ("java",), "json": ("json",), "yaml": ("yaml", "yml"), "toml": ("toml",),
+    "shell": ("sh", "bash"), "markdown": ("md",), "pem": ("pem",), "key": ("key",), "ini": ("ini",), "config": ("cfg", "conf"), "sql": ("sql",), "css": ("css",), "html": ("html",),
+}
+_BY_EXTENSION = "CASE string_split(name, '.')[-1] " + " ".join(f"WHEN '{e}' THEN '{k}'" for k, es in _NAMED.items() for e in es) + " ELSE 'unknown' END"
+query("detect_language", f"""SELECT DISTINCT file_path, CASE WHEN name IN ('Cargo.toml', 'Cargo.lock') THEN 'rust' WHEN name IN ('package.json', 'package-lock.json') THEN 'npm' WHEN name IN ('pyproject.toml', 'setup.py', 'requirements.txt') THEN 'python'
+        WHEN name IN ('Makefile') THEN 'makefile' WHEN name IN ('Dockerfile') THEN 'dockerfile' WHEN NOT contains(name, '.') OR regexp_full_match(name, '\\.[^.]*') THEN 'unknown' ELSE {_BY_EXTENSION} END AS detected
+    FROM (SELECT file_path, string_split(file_path, '/')[-1] AS name FROM chunks)""")(lambda s, d: chunks(s, d).select("file_path").distinct().select("file_path", languages.detect(F.col("file_path")).alias("detected")))
+_C = EngineConfig()
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+query("skip_file_predicate", f"""SELECT DISTINCT file_path, list_has_any(parts[:-2], {_LIST(_C.skip_dirs)}) OR list_contains({_LIST(x for x in _C.skip_files if x[0] != "*")}, name) OR {" OR ".join(f"ends_with(name, '{x[1:]}')" for x in _C.skip_files if x[0] == "*")}
+        OR (ext <> '' AND NOT list_contains({_LIST(x.lower() for x in _C.extensions)}, '.' || ext)) AS skipped
+    FROM (SELECT *, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS ext FROM (SELECT file_path, string_split(file_path, '/') AS parts, string_split(file_path, '/')[-1] AS name FROM chunks WHERE file_path IS NOT NULL))""")(
+    lambda s, d: chunks(s, d).filter("file_path is not null").select("file_path").distinct().select("file_path", paths.skipped(F.col("file_path")).alias("skipped"))
+)
 query("parse_timestamp", "SELECT l_orderkey, l_linenumber, epoch(date_trunc('day', l_shipdate))::BIGINT AS day, epoch(l_shipdate)::BIGINT AS at FROM lineitem")(
     lambda s, d: read(s, d, "lineitem").select(
         "l_orderkey", "l_linenumber", T.parse_timestamp(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"), T.parse_timestamp(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("at")
     )
 )
-query("shard_routing")(lambda s, d: sharding.route(read(s, d, "codebases"), 7, 2))
-query("shard_of_codebase")(lambda s, d: read(s, d, "codebases").select("codebase_id", T.djb2("codebase_id").alias("hash"), sharding.shard_of(F.col("codebase_id"), 7).alias("shard")))
+_DJB2 = "list_reduce(list_prepend(5381::HUGEINT, list_transform(range(1, strlen(codebase_id) + 1), lambda i: ord(codebase_id[i])::HUGEINT)), lambda h, c: (h * 33 + c) % 18446744073709551616)"
+query("shard_routing", f"SELECT codebase_id, [(h % 7)::INT, ((h + 1) % 7)::INT] AS shards, true AS merge FROM (SELECT codebase_id, {_DJB2} AS h FROM codebases)")(lambda s, d: sharding.route(read(s, d, "codebases"), 7, 2))
+query("shard_of_codebase", f"SELECT codebase_id, h::VARCHAR AS hash, (h % 7)::INT AS shard FROM (SELECT codebase_id, {_DJB2} AS h FROM codebases)")(lambda s, d: read(s, d, "codebases").select("codebase_id", T.djb2("codebase_id").cast("string").alias("hash"), sharding.shard_of(F.col("codebase_id"), 7).alias("shard")))
 _SHARDS = f"(SELECT id, codebase_id, {_COS} AS score, row_number() OVER (PARTITION BY codebase_id ORDER BY {_COS} DESC, id) AS rank FROM chunks QUALIFY rank <= 5)"
 query("shard_merge", f"SELECT id, round(sum(1.0 / (rank - 1 + 60)), 6) AS score, max(score) AS best FROM {_SHARDS} GROUP BY id ORDER BY 2 DESC, id LIMIT 20")(
     lambda s, d: sharding.merged(search.by_codebase(chunks(s, d), VECTOR, 5, 1 << 30).select("id", "score", F.col("codebase_rank").alias("rank")), 20)
 )
 
 # ------------------------------------------------------------------ rewriting
-query("expand_query", f"""WITH t(term, synonym) AS (VALUES {', '.join(f"('{k.strip()}', '{x.strip()}')" for line in rewrite.THESAURUS.strip().splitlines() for k, v in [line.split(':', 1)] for x in v.split(','))}),
-    p AS (SELECT term AS word, synonym AS other FROM t UNION SELECT synonym, term FROM t), w AS (SELECT DISTINCT query_text, unnest(string_split_regex(lower(query_text), '\\s+')) AS word FROM query_stats)
-    SELECT query_text, lower(query_text) AS expansion FROM query_stats UNION SELECT query_text, replace(lower(query_text), word, other) FROM w JOIN p USING (word)""")(
+_THESAURUS = "(VALUES " + ", ".join(f"('{t}', '{x}')" for t, xs in rewrite.THESAURUS.items() for x in xs) + ")"
+_EXPANDED = f"""t(term, synonym) AS {_THESAURUS}, w AS (SELECT DISTINCT query_text, unnest(string_split_regex(lower(query_text), '\\s+')) AS word FROM query_stats),
+    p AS (SELECT term AS word, synonym AS other FROM t UNION SELECT word, term FROM (SELECT DISTINCT word FROM w WHERE word <> '') JOIN t ON contains(synonym, word) OR contains(word, synonym))"""
+query("expand_query", f"""WITH {_EXPANDED} SELECT query_text, lower(query_text) AS expansion FROM query_stats UNION SELECT query_text, replace(lower(query_text), word, other) FROM w JOIN p USING (word)""")(
     lambda s, d: rewrite.expanded(read(s, d, "query_stats"), rewrite.thesaurus(s))
 )
-query("expand_query_fts", f"""WITH t(term, synonym) AS (SELECT DISTINCT * FROM (VALUES {', '.join(f"('{k.strip()}', '{x.strip()}')" for line in rewrite.THESAURUS.strip().splitlines() for k, v in [line.split(':', 1)] for x in v.split(','))})),
+query("expand_query_fts", f"""WITH t(term, synonym) AS (SELECT DISTINCT * FROM {_THESAURUS}),
     w AS (SELECT DISTINCT query_text, unnest(string_split_regex(lower(query_text), '\\s+')) AS word FROM query_stats), u AS (SELECT query_text, word AS x FROM w UNION SELECT query_text, synonym FROM w JOIN t ON t.term = w.word)
     SELECT query_text, coalesce(string_agg(x, ' OR ' ORDER BY x) FILTER (length(x) > 2), '') AS terms FROM u GROUP BY 1""")(
     lambda s, d: rewrite.expanded_for_text_search(read(s, d, "query_stats"), rewrite.thesaurus(s))
 )
+query("process_query")(lambda s, d: rewrite.processed(read(s, d, "query_stats"), rewrite.thesaurus(s)))
 _TYPED_WORDS = "SELECT DISTINCT unnest(string_split_regex(lower(query_text), '\\s+')) AS word FROM search_clicks"
 query("correct_typos", f"""WITH k AS (SELECT DISTINCT n AS term FROM (SELECT unnest(string_split(name, '-')) AS n FROM codebases) WHERE n <> ''), w AS ({_TYPED_WORDS}),
     c AS (SELECT word, term, levenshtein(word, term) AS d FROM w, k WHERE length(word) > 2 AND word NOT IN (SELECT term FROM k) AND levenshtein(word, term) <= 2)
@@ -234,7 +272,9 @@ query("correct_typos", f"""WITH k AS (SELECT DISTINCT n AS term FROM (SELECT unn
         read(s, d, "codebases").select(F.explode(F.split("name", "-")).alias("term")).filter("term <> ''"),
     )
 )
-query("fuzzy_variants")(lambda s, d: read(s, d, "query_stats").select("query_text", rewrite.variants(F.col("query_text")).alias("variants")))
+_VARIANTS = ["[query_text]"] + [f"CASE WHEN contains(q, '{a}') THEN [replace(q, '{a}', '{b}')] ELSE [] END" for a, b in rewrite.TYPOS] + [f"CASE WHEN q = '{a}' THEN ['{b}', '{b} {a}'] ELSE [] END" for a, b in rewrite.ACRONYMS]
+_VARIANTS += [f"CASE WHEN ends_with(q, '{e}') THEN [q[:-{len(e) + 1}]] ELSE [] END" for e in ("ing", "tion", "er")]
+query("fuzzy_variants", f"SELECT query_text, list_sort(list_distinct(flatten([{', '.join(_VARIANTS)}]))) AS variants FROM (SELECT query_text, lower(query_text) AS q FROM query_stats)")(lambda s, d: read(s, d, "query_stats").select("query_text", rewrite.variants(F.col("query_text")).alias("variants")))
 query("summary_lines", f"SELECT doc_id, array_to_string(({_LINES.format(c='text')})[:5], chr(10)) AS summary FROM documents WHERE text IS NOT NULL")(lambda s, d: read(s, d, "documents").filter("text is not null").select("doc_id", rewrite.summary_lines(F.col("text")).alias("summary")))
 
 # ------------------------------------------------------------------ enrichment
@@ -267,7 +307,17 @@ _NODES = f"""
     nodes AS (SELECT DISTINCT e.k AS node_type, e.n AS name, codebase_id, file_path, line_no, language FROM e WHERE e IS NOT NULL
               UNION SELECT 'Module', file_path, codebase_id, file_path, 1, lower(trim(language)) FROM chunks WHERE language IS NOT NULL AND lower(trim(language)) NOT IN ('rust', 'javascript', 'typescript', 'python', 'go', 'java'))"""
 query("graph_nodes", f"WITH {_NODES} SELECT node_type, name, codebase_id, file_path, line_no, language FROM nodes")(lambda s, d: graph.nodes(chunks(s, d)).drop("node_id"))
-query("graph_edges")(lambda s, d: (lambda n: graph.contains_edges(n).unionByName(graph.import_edges(n)))(cut(graph.nodes(chunks(s, d)))))
+_GRAPH = f"""{_NODES}, k AS (SELECT *, substr(sha256(concat_ws(':', codebase_id, file_path, node_type, name, line_no::VARCHAR)), 1, 16) AS node_id, substr(sha256(concat_ws(':', codebase_id, file_path)), 1, 16) AS file_id FROM nodes),
+    g AS (SELECT file_id AS from_id, node_id AS to_id, 'Contains' AS edge_type FROM k WHERE node_type NOT IN ('Import', 'Module') UNION SELECT i.node_id, k.node_id, 'Imports' FROM
+        (SELECT codebase_id, file_path, node_id, unnest(list_distinct(string_split_regex(name, '\\W+'))) AS part FROM k WHERE node_type = 'Import') i JOIN k ON k.codebase_id = i.codebase_id AND k.name = i.part
+        WHERE k.node_type NOT IN ('Import', 'Module') AND i.file_path <> k.file_path AND length(part) > 2)"""
+_edges = lambda n: graph.contains_edges(n).unionByName(graph.import_edges(n)).distinct()
+query("graph_edges", f"WITH {_GRAPH} SELECT DISTINCT from_id, to_id, edge_type FROM g")(lambda s, d: _edges(cut(graph.nodes(chunks(s, d)))))
+query("graph_degree", f"""WITH {_GRAPH}, o AS (SELECT from_id AS node_id, count(*) AS out_edges FROM g GROUP BY 1), i AS (SELECT to_id AS node_id, count(*) AS in_edges FROM g GROUP BY 1)
+    SELECT node_id, coalesce(out_edges, 0) AS out_edges, coalesce(in_edges, 0) AS in_edges FROM o FULL JOIN i USING (node_id)""")(lambda s, d: graph.degree(_edges(cut(graph.nodes(chunks(s, d))))))
+query("graph_incident", f"WITH {_GRAPH}, m AS (SELECT min(to_id) AS x FROM g WHERE edge_type = 'Imports') SELECT from_id, to_id, edge_type FROM g, m WHERE from_id = x OR to_id = x")(
+    lambda s, d: (lambda e: graph.incident(e, e.filter("edge_type = 'Imports'").agg(F.min("to_id")).first()[0] or ""))(cut(_edges(cut(graph.nodes(chunks(s, d))))))
+)
 query("import_edges", f"""WITH {_NODES}, i AS (SELECT DISTINCT codebase_id, file_path AS f1, line_no AS l1, unnest(list_distinct(string_split_regex(name, '\\W+'))) AS name FROM nodes WHERE node_type = 'Import')
     SELECT DISTINCT i.codebase_id, f1, file_path AS f2, i.name FROM i JOIN nodes n ON n.codebase_id = i.codebase_id AND n.name = i.name WHERE n.node_type NOT IN ('Import', 'Module') AND f1 <> file_path AND length(i.name) > 2""")(
     lambda s, d: (
@@ -275,30 +325,50 @@ query("import_edges", f"""WITH {_NODES}, i AS (SELECT DISTINCT codebase_id, file
         .join(n.select(F.col("node_id").alias("to_id"), F.col("file_path").alias("f2"), "name"), "to_id").select("codebase_id", "f1", "f2", "name").distinct()
     )(cut(graph.nodes(chunks(s, d))))
 )
-query("import_edges_theta", f"""WITH {_NODES}, a AS (SELECT DISTINCT name AS import_name FROM nodes WHERE node_type = 'Import'), b AS (SELECT DISTINCT name AS defined_name FROM nodes WHERE node_type IN ('Class', 'Struct') AND name <> '')
+query("import_edges_theta", f"""WITH {_NODES}, a AS (SELECT DISTINCT name AS import_name FROM nodes WHERE node_type = 'Import'), b AS (SELECT DISTINCT name AS defined_name FROM nodes WHERE node_type <> 'Import' AND name <> '')
     SELECT import_name, defined_name FROM a, b WHERE contains(import_name, defined_name) OR contains(defined_name, import_name)""")(
-    lambda s, d: (lambda n: graph.import_edges_by_containment(n.filter("node_type = 'Import'"), n.filter("node_type in ('Class', 'Struct') and name <> ''")))(cut(graph.nodes(chunks(s, d))))
+    lambda s, d: (lambda n: graph.import_edges_by_containment(n.filter("node_type = 'Import'"), n.filter("node_type <> 'Import'")))(cut(graph.nodes(chunks(s, d))))
 )
 query("file_dependencies", f"WITH {_NODES} SELECT DISTINCT codebase_id, file_path, name AS import FROM nodes WHERE node_type = 'Import'")(lambda s, d: graph.dependencies(graph.nodes(chunks(s, d))))
-query("graph_dependents", f"""WITH {_NODES}, i AS (SELECT DISTINCT codebase_id, file_path, name FROM nodes WHERE node_type = 'Import' AND codebase_id = '{CODEBASE}'), f AS (SELECT min(file_path) AS file_path FROM i WHERE file_path LIKE '%.java')
-    SELECT DISTINCT codebase_id, file_path FROM i WHERE name IN (SELECT name FROM i JOIN f USING (file_path)) AND file_path NOT IN (SELECT coalesce(file_path, '') FROM f)""")(
-    lambda s, d: (
-        lambda n: graph.dependents(n, CODEBASE, graph.dependencies(n).filter((F.col("codebase_id") == CODEBASE) & F.endswith("file_path", F.lit(".java"))).agg(F.min("file_path")).first()[0] or "")
-    )(graph.nodes(chunks(s, d)))
-)
-_EDGES = "SELECT DISTINCT o_custkey AS from_id, o_orderkey % 1000 AS to_id FROM orders"
-query("graph_bfs", f"""WITH RECURSIVE e AS ({_EDGES}), r(node_id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.to_id, r.depth + 1 FROM r JOIN e ON e.from_id = r.node_id WHERE r.depth < 3)
-    SELECT node_id, min(depth) AS depth FROM r GROUP BY 1""")(
-    lambda s, d: graph.traverse(read(s, d, "orders").select(F.col("o_custkey").alias("from_id"), (F.col("o_orderkey") % 1000).alias("to_id")).distinct(), s.range(1, 2).withColumnRenamed("id", "node_id"), 3)
-)
+query("graph_dependents", f"""WITH {_NODES}, i AS (SELECT DISTINCT codebase_id, file_path, name FROM nodes WHERE node_type = 'Import'),
+    f AS (SELECT codebase_id, file_path FROM i WHERE (codebase_id, name) IN (SELECT codebase_id, name FROM i GROUP BY ALL HAVING count(*) > 1) ORDER BY 1, 2 LIMIT 1)
+    SELECT DISTINCT i.codebase_id, i.file_path FROM i JOIN f ON f.codebase_id = i.codebase_id AND f.file_path <> i.file_path WHERE name IN (SELECT name FROM i JOIN f USING (codebase_id, file_path))""")(lambda s, d: _dependents(cut(graph.nodes(chunks(s, d)))))
+
+
+def _dependents(n):
+    """Of the first file that shares an import with another one."""
+    deps = graph.dependencies(n)
+    shared = deps.groupBy("codebase_id", "import").agg(F.count("*").alias("n")).filter("n > 1")
+    first = deps.join(shared, ["codebase_id", "import"], "left_semi").agg(F.min(F.struct("codebase_id", "file_path"))).first()[0]
+    return graph.dependents(n, *(first or ("", "")))
+
+
+query("graph_bfs", f"""WITH RECURSIVE {_GRAPH}, r(node_id, depth) AS (SELECT DISTINCT x, 0 FROM (SELECT file_id AS x FROM k WHERE codebase_id = '{CODEBASE}' AND node_type NOT IN ('Import', 'Module') UNION SELECT node_id FROM k WHERE codebase_id = '{CODEBASE}' AND node_type = 'Import')
+        UNION SELECT g.to_id, r.depth + 1 FROM r JOIN g ON g.from_id = r.node_id WHERE r.depth < 3) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1""")(lambda s, d: _reached(cut(graph.nodes(chunks(s, d)))))
+
+
+def _reached(n):
+    """From the files and imports of one codebase."""
+    own = n.filter(F.col("codebase_id") == CODEBASE)
+    starts = graph.contains_edges(own).select(F.col("from_id").alias("node_id")).unionByName(own.filter("node_type = 'Import'").select("node_id"))
+    return graph.traverse(_edges(n), starts, 3)
+
+
 query("related_tests", "SELECT DISTINCT codebase_id, file_path FROM chunks WHERE lower(file_path) LIKE '%test%' OR lower(file_path) LIKE '%spec%'")(lambda s, d: graph.related_tests(chunks(s, d)))
 query("graph_resources", f"WITH {_NODES} SELECT name, node_type || ' in ' || file_path AS description, node_type FROM nodes WHERE node_type IN ('Module', 'Function', 'Class')")(lambda s, d: graph.resources(graph.nodes(chunks(s, d))).drop("uri"))
+
+
+def _modified(s, d):
+    return [r[0] for r in graph.file_vectors(chunks(s, d).filter(F.col("codebase_id") == CODEBASE)).select("file_path").orderBy("file_path").limit(2).collect()]
+
+
 _FV = f"SELECT file_path, arg_min(embedding, id) AS e FROM chunks WHERE codebase_id = '{CODEBASE}' AND embedding IS NOT NULL GROUP BY 1"
 _SIM = "CASE WHEN len(o.e) = len(q.e) AND list_sum(list_transform(o.e, lambda x: x::DOUBLE * x::DOUBLE)) > 0 AND list_sum(list_transform(q.e, lambda x: x::DOUBLE * x::DOUBLE)) > 0 THEN list_cosine_similarity(o.e::DOUBLE[], q.e::DOUBLE[]) ELSE 0 END"
 query("predict_changes", f"""WITH v AS ({_FV}), q AS (SELECT * FROM v ORDER BY file_path LIMIT 2), s AS (SELECT o.file_path, round(max({_SIM}), 6) AS similarity FROM v o, q WHERE o.file_path NOT IN (SELECT file_path FROM q) GROUP BY 1)
     SELECT file_path, similarity, CASE WHEN lower(file_path) LIKE '%test%' OR lower(file_path) LIKE '%spec%' THEN 'LikelyTestChange' ELSE 'LikelyRelatedChange' END AS kind FROM s WHERE similarity > 0.5 ORDER BY similarity DESC, file_path LIMIT 20""")(
-    lambda s, d: graph.predicted_changes(chunks(s, d), CODEBASE, [r[0] for r in graph.file_vectors(chunks(s, d).filter(F.col("codebase_id") == CODEBASE)).select("file_path").orderBy("file_path").limit(2).collect()])
+    lambda s, d: graph.predicted_changes(chunks(s, d), CODEBASE, _modified(s, d))
 )
+query("prediction_confidence")(lambda s, d: graph.confidence(graph.predicted_changes(chunks(s, d), CODEBASE, _modified(s, d))))
 query("api_change_impact", f"WITH {_BM25}, f AS ({_fts(30)}) SELECT file_path, arg_min(start_line, rank) AS start_line, 0.85::DOUBLE AS confidence FROM f JOIN chunks USING (id) GROUP BY 1")(
     lambda s, d: graph.api_impact(search.full_text(chunks(s, d), QUERY, 30).join(chunks(s, d).select("id", "file_path", "start_line"), "id"))
 )

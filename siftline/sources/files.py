@@ -9,6 +9,8 @@ from siftline.functions.languages import detect
 from siftline.functions.text import sha16
 from siftline.operators import paths
 
+MANIFEST_PART = 100_000  # entries of one JSON object
+
 
 def _ignore_files(spark: SparkSession, root: str, depth: int = 10) -> list[tuple[str, str]]:
     """(relative path, text) of ignore files down to a depth; Spark's own readers leave out names that begin with a dot."""
@@ -50,14 +52,26 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, hash) from a JSON object of paths and hashes, on one or several lines."""
+    """(path, hash) of a manifest: a JSON object of paths and hashes, on one or several lines, or a folder of such objects."""
     raw = spark.read.option("wholetext", "true").text(path)
-    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("path", "hash"))
+    held = raw.select(F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).alias("m"), F.length(F.trim("value")).alias("n"))
+    checked = held.select(F.when((F.col("n") > 0) & F.col("m").isNull(), F.raise_error(F.lit(f"{path} is no manifest"))).otherwise(F.col("m")).alias("m"))
+    return checked.select(F.explode("m").alias("path", "hash"))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """One JSON object a partition; read_manifest reads them all."""
-    manifest.select("path", "hash").write.mode("overwrite").parquet(path)
+    """A folder of JSON objects of at most MANIFEST_PART entries each, which ``read_manifest`` reads; a repeated path keeps its greatest hash."""
+    once = manifest.filter("path is not null").groupBy("path").agg(F.max("hash").alias("hash"))
+    parts = F.greatest(F.lit(1), F.ceil(once.groupBy().count().first()[0] / F.lit(MANIFEST_PART)))
+    keyed = once.withColumn("part", F.pmod(F.xxhash64("path"), parts))
+    objects = keyed.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", F.coalesce("hash", F.lit("")))))).alias("value"))
+    objects.select("value").write.mode("overwrite").text(path)
+
+
+def delete_manifest(spark: SparkSession, path: str) -> bool:
+    """Whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -88,7 +88,7 @@ def test_timestamps(spark):
 def test_languages(spark):
     for name, language in [("src/main.rs", "rust"), ("a.py", "python"), ("Cargo.toml", "rust"), ("Makefile", "makefile"), ("unknown.xyz", "unknown"), ("x/y.tsx", "typescript"), (".env", "unknown"), ("noext", "unknown")]:
         assert one(spark, name, languages.detect) == language
-    table = spark.createDataFrame(list(languages.table().items()), "key string, language string")
+    table = spark.createDataFrame(list(languages.LANGUAGES.items()), "key string, language string")
     df = spark.createDataFrame([("a/b.go",), ("Makefile",), ("q",)], "file_path string")
     assert {r.file_path: r.detected for r in languages.detect_join(df, table).collect()} == {"a/b.go": "go", "Makefile": "makefile", "q": "unknown"}
 

@@ -1,7 +1,9 @@
 """Incremental runs: trees, edge cases, and recovery from failures at any point."""
 
+import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,8 +24,11 @@ def test_changes_against_brute_force(spark):
     got = {(r.key, r.change) for r in I.changed(a, b, ["key"]).collect()}
     want = {(k, "added") for k in new.keys() - old.keys()} | {(k, "removed") for k in old.keys() - new.keys()} | {(k, "modified") for k in new.keys() & old.keys() if new[k] != old[k]}
     assert got == want
-    leaves = I.differing_leaves(I.tree(a, ["key"]), I.tree(b, ["key"])).count()
-    assert 0 < leaves <= len(want)
+    for depth in (1, 2, 4, 7):
+        leaves = I.differing_leaves(I.tree(a, ["key"], depth), I.tree(b, ["key"], depth), depth).count()
+        assert 0 < leaves <= len(want)
+        assert {(r.key, r.change) for r in I.changed(a, b, ["key"], depth=depth).collect()} == want
+    assert [I.depth_for(n) for n in (0, 64, 1000, 2000, 83_000, 10**9, 10**15)] == [1, 1, 1, 2, 3, 6, 7]
     assert I.changed(a, a, ["key"]).count() == 0
 
 
@@ -74,3 +79,40 @@ def test_store_survives_failures(spark, tmp_path):
     assert seen[-1] == ["a", "c"] and store.version()["run"] == 2
     store.run(table(spark, rows[1:]), "digest", keep)  # a removal alone still moves the state on
     assert seen[-1] == [] and store.run(table(spark, rows[1:]), "digest", keep) is None
+
+
+def test_records_that_move_during_a_run(spark, tmp_path, monkeypatch):
+    """Records added, changed, or changed and put back between the steps of a run are neither skipped nor repeated."""
+    at, store, seen = tmp_path / "records.json", I.Store(spark, str(tmp_path / "state"), ["key"]), []
+
+    def put(rows):
+        at.write_text(json.dumps(rows))
+
+    def keep(delta):
+        seen.append(sorted((r.key, r.digest) for r in delta.collect()))
+        return delta.select("key")
+
+    def look(batches):  # whenever the rows are asked for, they are as the file says then
+        for _ in batches:
+            rows = json.loads(at.read_text())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["key", "digest", "leaf"])
+
+    records = lambda: spark.range(1).coalesce(1).mapInArrow(look, "key string, digest string, leaf string")
+    put([("a", "1", ""), ("b", "1", "")])
+    store.run(records(), "digest", keep)
+    put([("a", "2", ""), ("b", "2", ""), ("c", "1", "")])
+    changes = I.Store.changes
+
+    def moving(self, now):
+        out = changes(self, now)
+        put([("a", "2", ""), ("b", "3", ""), ("d", "1", "")])  # b moves on, c goes, d comes
+        return out
+
+    monkeypatch.setattr(I.Store, "changes", moving)
+    store.run(records(), "digest", keep)
+    assert seen[-1] == [("a", "2")]
+    monkeypatch.setattr(I.Store, "changes", changes)
+    put([("a", "2", ""), ("b", "2", ""), ("c", "1", ""), ("d", "1", "")])  # b and c are as the broken look saw them
+    store.run(records(), "digest", keep)
+    assert seen[-1] == [("b", "2"), ("c", "1"), ("d", "1")]
+    assert store.run(records(), "digest", keep) is None
