@@ -4,8 +4,9 @@ Each chunk is scanned once by a keyword automaton.  Only lines with a keyword ar
 against the rules: issuer formats, private-key blocks, passwords inside addresses,
 authorization headers, and values bound to a name that ends in a secret word.  Structure
 checks (JWT segments, base64 body of a key block, strength of the value) and a list of
-placeholder forms decide.  A value is masked by characters of its own classes, so length and
-alphabet stay and the code around it is unchanged.
+placeholder forms decide; ``checked`` says that an issuer's checksum (CRC-32 in base 62) or the structure
+was verified.  A value is masked by characters of its own alphabet, so length and
+alphabet stay and the code around it is unchanged; a mask is no credential when scanned again.
 
 Defined results: null or empty content gives no finding and is returned as it is; a repeated
 chunk gives repeated findings from ``find`` and one row from ``found``; a null path is an
@@ -17,6 +18,8 @@ from __future__ import annotations
 import base64
 import json
 import re
+import zlib
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -60,20 +63,20 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 PEM_BODY = re.compile(r"(?:\\[rn]|\s|\"|'|\+|,)*(?:[A-Za-z\-]+: [^\n\\]*(?:\\n|\s)+)*([A-Za-z0-9+/=]{16,})")
 PEM_MORE = re.compile(r"(?:(?:\\[rn]|\s|\"|'|\+|,)*(?:[A-Za-z0-9+/=]{40,}|[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9+/=])))*")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,30}+://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[]")
+URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[]")
 SCHEME = re.compile(r"(?<![A-Za-z])(?:Bearer|Basic|Token|bearer|basic) ([A-Za-z0-9+/=_\-.~]{12,})")
 CALL_AUTH = re.compile(rf"(?i)(?:bearer|token|basic)_?auth\w*\(\s*({_LITERAL})")
-PAIR = re.compile(rf"[\"'`]([A-Za-z][\w .\-]{{0,80}})[\"'`]\s*,\s*({_JOINED})")
+PAIR = re.compile(rf"[\"'`]([A-Za-z][\w .\-]*+)[\"'`]\s*,\s*({_JOINED})")
 LOGIN = re.compile(rf"(?i)\b(?:login|authenticate|sign_?in|connect)\(\s*{_LITERAL}\s*,\s*({_LITERAL})")
 SETTER = re.compile(rf"\b[sS]et_?([A-Za-z_]{{1,80}})\(\s*({_JOINED})")
 QUOTED = re.compile(
-    rf"(?<![\w\-])([A-Za-z][\w\-]{{0,80}}+)[\"'`]?\]?\s*(?::\s*&?(?:'static\s+)?[\w.<>|]+\s*=(?![=>])|=>|:=|=(?![=>])|:)\s*"
+    rf"(?<![\w\-])([A-Za-z][\w\-]*+)[\"'`]?\]?\s*(?::\s*&?(?:'static\s+)?[\w.<>|]+\s*=(?![=>])|=>|:=|=(?![=>])|:)\s*"
     rf"(?:\(\s*|concat!\(\s*|String::from\(\s*|Some\(\s*|[rbu](?=[\"']))*({_JOINED})"
 )
 BARE = re.compile(r"^\s*(?:[#;/*\-]+\s*)?(?:was:|old:|formerly:)?\s*(?:export\s+|ENV\s+)?([A-Za-z][\w.\-]*)\s*[=:]\s*([^\s\"'`]\S*)\s*(?:#.*)?$")
 PROSE = re.compile(r"(?i)\b(?:password|passphrase|passwd|secret|token|api key|credential)\b[^\"'`=:\n]{0,60}?\b(?:is|was)\s+[\"'`]?(\S+)")
 PROSE_LOGIN = re.compile(r"(?i)\blogin:?\s+[\w.@\-]+\s*/\s*(\S+)")
-REMARK = re.compile(r"(?<![\w.\-])([A-Za-z][\w.\-]{0,80}+)\s*[:=]\s*([^\s\"'`]+)")
+REMARK = re.compile(r"(?<![\w.\-])([A-Za-z][\w.\-]*+)\s*[:=]\s*([^\s\"'`]+)")
 FORMER = re.compile(r"^\W*(?:was|old|formerly):")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -87,6 +90,9 @@ PLACEHOLDER = re.compile(
 )
 
 
+FILL = frozenset("xXaA02")  # what masks are made of
+
+
 def secret_name(name: str) -> bool:
     """Whether an identifier names a secret itself, not a setting about one."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -97,7 +103,7 @@ def secret_name(name: str) -> bool:
 
 def strong(value: str, least: int = 8) -> bool:
     """A value that can be a secret: no blank, a letter, and a digit or a sign that names don't have."""
-    if len(value) < least or re.search(r"\s", value) or PLACEHOLDER.search(value) or len(set(value)) < 4:
+    if len(value) < least or re.search(r"\s", value) or PLACEHOLDER.search(value) or len(set(value)) < 4 or len(set(value) - FILL) < 2:
         return False
     return bool(re.search(r"[A-Za-z]", value)) and bool(re.search(r"[\d!@#$%^&*?~+=]", value))
 
@@ -116,6 +122,26 @@ def _jwt(value: str) -> bool:
         return False
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum(token: str) -> bool:
+    """Whether the last six characters are the CRC-32 of those behind the prefix, in base 62, as some issuers make them."""
+    body, n, digits = token[token.index("_") + 1 : -6], 0, ""
+    n = zlib.crc32(body.encode())
+    for _ in range(6):
+        n, d = divmod(n, 62)
+        digits = _BASE62[d] + digits
+    return token.endswith(digits)
+
+
+def verified(token: str) -> bool:
+    """What can be checked of an issuer's token without its issuer: a checksum, or the structure of a JWT."""
+    if token.startswith("eyJ"):
+        return _jwt(token)
+    return token[:4] in ("ghp_", "gho_", "ghs_", "npm_") and checksum(token)
+
+
 def _rules(text: str, a: int, b: int, bare: bool):
     """(kind, checked, spans) of the credentials that begin in the line text[a:b]."""
     line = text[a:b]
@@ -138,11 +164,11 @@ def _rules(text: str, a: int, b: int, bare: bool):
             yield "private_key", True, [(m.start(), stop.end() if stop else PEM_MORE.match(text, body.end()).end())]
     for m in ISSUER.finditer(text, a, b):
         if not PLACEHOLDER.search(m.group()) and len(set(m.group()[4:])) > 5:
-            yield "issuer", m.group().startswith("eyJ") and _jwt(m.group()), [m.span()]
+            yield "issuer", verified(m.group()), [m.span()]
     if "://" in line:
         for m in URL.finditer(text, a, b):
             v = m.group(1)
-            if len(v) >= 6 and not PLACEHOLDER.search(v) and not v.startswith("$") and v.lower() not in SECRET_LAST and "{" not in v and re.search(r"[^a-z]", v):
+            if len(v) >= 6 and len(set(v) - FILL) > 1 and not PLACEHOLDER.search(v) and not v.startswith("$") and v.lower() not in SECRET_LAST and "{" not in v and re.search(r"[^a-z]", v):
                 yield "address", False, [m.span(1)]
     for m in SCHEME.finditer(text, a, b):
         if strong(m.group(1), 12):
@@ -168,7 +194,7 @@ def _rules(text: str, a: int, b: int, bare: bool):
                 continue
             for v, spans in ((v, spans), (whole, joined)):
                 if len(spans) > 1 and ISSUER.fullmatch(v) and not PLACEHOLDER.search(v):
-                    yield "issuer", False, spans
+                    yield "issuer", verified(v), spans
                     break
     comment = COMMENT.match(line)
     if bare and (m := BARE.match(line)):
@@ -186,6 +212,7 @@ def _rules(text: str, a: int, b: int, bare: bool):
                     yield "prose", False, [(m.start(1), m.start(1) + len(v))]
 
 
+@lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     for k in KEYWORDS:
@@ -239,7 +266,41 @@ def scan(text: str | None, path: str | None, auto: ahocorasick.Automaton | None
     return out
 
 
-_MASK = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
+_ESCAPE = re.compile(r"\\(?:[rnt\"'`\\$/0]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_SIGNS = "-_.~!*@^?+=%&#$"  # signs that can stand for each other; brackets, quotes, blanks and separators stay
+_HEX, _BASE32, _BASE64 = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), re.compile(r"[A-Z2-7]+=*"), re.compile(r"[A-Za-z0-9+/_\-]+=*")
+
+
+def placeholder(value: str) -> str:
+    """As long as the value and of its alphabet: hexadecimal, base32 or base64, else its own classes of characters; escapes stay."""
+    coded = "%" in value and "%" not in _PERCENT.sub("", value)
+    escape = _PERCENT if coded else _ESCAPE
+    bare = escape.sub("", value)
+    lower, upper, digit = "x", "X", "0"
+    signs = next((c for c in _SIGNS if c in bare), "")
+    if _HEX.fullmatch(bare):
+        lower, upper = "a", "A"
+    elif _BASE32.fullmatch(bare):
+        upper, digit, signs = "A", "2", ""
+    elif bare.count(".") == 2 and bare.startswith("eyJ"):
+        signs = ""  # the parts of a JWT stay apart
+    elif _BASE64.fullmatch(bare):
+        signs = "".join(c for c in "-_+/" if c in bare)[:1]
+
+    def fill(c: str) -> str:
+        if c.isalpha():
+            return (upper if c.isupper() else lower) if c.isascii() else "x"
+        if c.isdigit():
+            return digit
+        return signs if signs and (c in _SIGNS or c == signs == "/") and c != "=" else c
+
+    out, at = [], 0
+    for m in escape.finditer(value):
+        out += [fill(c) for c in value[at : m.start()]]
+        out.append("%20" if coded else m.group())
+        at = m.end()
+    return "".join(out + [fill(c) for c in value[at:]])
 
 
 def hidden(text: str, path: str | None) -> list[tuple[int, int]]:
@@ -256,14 +317,17 @@ def hidden(text: str, path: str | None) -> list[tuple[int, int]]:
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
-    out = list(text)
-    for a, b in spans:
-        out[a:b] = re.sub(r"\\[rnt]|[A-Za-z0-9]", lambda m: m.group() if m.group()[0] == "\\" else m.group().translate(_MASK), text[a:b])
-    return "".join(out)
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            a = max(a, at)
+            out += [text[at:a], placeholder(text[a:b])]
+            at = b
+    return "".join([*out, text[at:]])
 
 
 def mask(text: str | None, path: str | None) -> str | None:
-    """The text with each credential's letters and digits replaced in place; a key block keeps its frame."""
+    """The text with each credential replaced in place by as many characters of its alphabet; a key block keeps its frame."""
     return masked(text, hidden(text, path)) if text else text
 
 
