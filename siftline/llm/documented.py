@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.files import assemble, newest_files
 from siftline.llm.grammars import LANGUAGE_OF, valid
+from siftline.llm.nesting import comment_end, template_end
 
 LEAST_WORDS = 4
 EXTENSIONS = ("py", "rs", "js", "ts", "go", "java")
@@ -32,10 +33,10 @@ _BLOCK, _LINE = r"/\*[\s\S]*?\*/", r"//[^\n]*"
 _REGEX = r"(?<=[(,=:\[!&|?{};\n])[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 LEXERS = {
     "py": re.compile(rf"#[^\n]*|[rRbBuUfF]{{0,2}}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|{_SQ}|{_DQ})"),
-    "js": re.compile(rf"{_LINE}|{_BLOCK}|`(?:[^`\\]|\\[\s\S])*`|{_SQ}|{_DQ}|{_REGEX}"),
+    "js": re.compile(rf"{_LINE}|{_BLOCK}|`|{_SQ}|{_DQ}|{_REGEX}"),
     "java": re.compile(rf"{_LINE}|{_BLOCK}|\"\"\"[\s\S]*?\"\"\"|{_DQ}|'(?:[^'\\\n]|\\[^\n]{{1,6}}?)'"),
     "go": re.compile(rf"{_LINE}|{_BLOCK}|`[^`]*`|{_DQ}|'(?:[^'\\\n]|\\[^\n]{{1,9}}?)'"),
-    "rs": re.compile(rf"{_LINE}|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*[\s\S]*?\*/)*\*/|[bc]?r(#*)\"[\s\S]*?\"\1|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'"),
+    "rs": re.compile(rf"{_LINE}|/\*|[bc]?r(#*)\"[\s\S]*?\"\1|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'"),
 }
 LEXERS["ts"] = LEXERS["js"]
 
@@ -73,11 +74,17 @@ _HEAD = {
 def blanked(text: str, ext: str) -> tuple[str, list[tuple[int, int]]]:
     """The text with strings and comments blanked out, lengths and line ends kept; and where those were."""
     spans, out, at = [], [], 0
-    for m in LEXERS[ext].finditer(text):
+    while m := LEXERS[ext].search(text, at):
         a, b = m.span()
+        piece = m.group()
+        if piece == "`":
+            b = template_end(text, a)
+        elif piece == "/*":
+            b = comment_end(text, a)
+        b = len(text) if b < 0 else b
+        piece = text[a:b]
         spans.append((a, b))
         out.append(text[at:a])
-        piece = m.group()
         out.append(re.sub(r"[^\n]", " ", piece) if "\n" in piece else " " * (b - a))
         at = b
     out.append(text[at:])
@@ -99,6 +106,12 @@ def _closed(code: str) -> dict[int, int]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _opened(code: str) -> dict[int, int]:
+    """Position behind each bracket that closes one -> position of that one."""
+    return {b: a for a, b in _closed(code).items()}
+
+
 def closing(code: str, at: int) -> int:
     """Position behind the bracket that closes the one at ``at``, or -1."""
     return _closed(code).get(at, -1)
@@ -315,11 +328,9 @@ def _before(text: str, code: str, by_end: dict, starts: list[int], end_of, line:
         if ext != "go" and (bare.startswith("@") or (ext == "rs" and bare.startswith("#["))):
             i -= 1
             continue
-        if ext in ("rs", "java", "js", "ts") and bare in (")]", ")"):  # an attribute over several lines
-            k = i
-            while k > 0 and not re.match(r"\s*(?:@|#\[)", code[starts[k] : end_of(k)]):
-                k -= 1
-            if k > 0 and i - k < 30 and closing(code, code.find("[" if ext == "rs" else "(", starts[k])) > starts[i]:
+        if ext != "go" and re.fullmatch(r"[)\]}]+", bare):  # the end of an annotation or attribute over several lines
+            k = bisect_right(starts, _opened(code).get(starts[i] + len(code[starts[i] : end_of(i)].rstrip()), -1)) - 1
+            if k >= 0 and re.match(r"\s*(?:@|#\[)", code[starts[k] : end_of(k)]):
                 i = k - 1
                 continue
         break

@@ -12,6 +12,7 @@ import re
 from functools import lru_cache
 
 from siftline.llm.gll import NEVER, Grammar, Recogniser
+from siftline.llm.nesting import flat_rust, flat_script
 
 # ---------------------------------------------------------------------------- JSON
 JSON = """
@@ -515,8 +516,10 @@ class ScriptLexer(Lexer):
 
     def tokens(self, text: str) -> str:
         nl = self.g.tokens["NL"]
-        s = self.squeeze(nl, super().tokens(text))
-        return self.drop("", s)
+        s = super().tokens(text)
+        if self.bad in s and "${" in text:  # templates inside templates, deeper than the pattern above
+            s = super().tokens(flat_script(text))
+        return self.drop("", self.squeeze(nl, s))
 
 
 class JavaLexer(Lexer):
@@ -551,15 +554,17 @@ class GoLexer(Lexer):
 
 class RustLexer(Lexer):
     def __init__(self, grammar: Grammar):
-        nested = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*[\s\S]*?\*/)*\*/)*\*/"
-        raw = r"(?:[bc]?r\"[^\"]*\"|[bc]?r#\"[\s\S]*?\"#|[bc]?r##\"[\s\S]*?\"##|[bc]?r###\"[\s\S]*?\"###)"
+        raw = r"(?:[bc]?r\"[^\"]*\"|[bc]?r#\"[\s\S]*?\"#|[bc]?r##\"[\s\S]*?\"##)"
         super().__init__(
             grammar,
-            rf"\s+|//[^\n]*|{nested}|{raw}|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'|'[^\W\d]\w*|(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w)|r#{_WORD}|{_WORD}|#!(?!\[)[^\n]*|\.\.=|\.\.\.|<<=|::|->|=>|\.\.|==|!=|<=|<<|&&|\|\||[+\-*/%&|^]=|[\s\S]",
+            rf"\s+|{_C}|{raw}|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'|'[^\W\d]\w*|(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w)|r#{_WORD}|{_WORD}|#!(?!\[)[^\n]*|\.\.=|\.\.\.|<<=|::|->|=>|\.\.|==|!=|<=|<<|&&|\|\||[+\-*/%&|^]=|[\s\S]",
         )
         k = grammar.tokens
         self.k = k
 
+    def tokens(self, text: str) -> str:
+        return super().tokens(flat_rust(text))
+
     def kind(self, t: str) -> str:
         k = self.k
         if t[0] == "#" and t[:2] == "#!" and len(t) > 2:
