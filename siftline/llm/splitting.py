@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUDGETS = {"small": 256, "medium": 512, "large": 1024}
-BYTES_PER_TOKEN, OVERLAP_PART, DEEPEST = 4, 4, 200
+BYTES_PER_TOKEN, OVERLAP_PART = 4, 4
 
 _HEADING = re.compile(r"(#{1,6})\s")
 _CLOSES = re.compile(r"\s*(?:[)\]}]|end\b|else\b|elif\b|except\b|finally\b|catch\b)")
@@ -61,11 +61,11 @@ def tree(lines: list[str], markdown: bool) -> _Node:
         if heading:
             level = len(heading.group(1))
         elif markdown:
-            level = 7 + (0 if fence or (s.startswith("```") and not fence) else min(indent, DEEPEST))
+            level = 7 + (0 if fence or (s.startswith("```") and not fence) else indent)
             if not fresh and len(stack) > 1 and stack[-1].level >= 7 and not re.match(r"\s*(?:[-*+]|\d+[.)])\s", line):
                 continue  # the same paragraph or code block
         else:
-            level = min(indent, DEEPEST)
+            level = indent
             if _CLOSES.match(line):
                 while len(stack) > 1 and stack[-1].level > level:
                     stack.pop()
