@@ -15,36 +15,51 @@ sources without documents fall short; an empty table draws nothing; extra column
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftline.session import kept
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SEED, PER_BUCKET = 17, 50_000
+SEED, PER_BUCKET, LARGEST_VOCABULARY = 17, 50_000, 64 << 20
 
 
 def label(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
+@lru_cache(maxsize=2)
+def _coder(vocabulary: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens) of every document with a source."""
+    """(doc_id, source, n_tokens) of every document with a source, counted once and kept.
 
-    def run(batches):
-        import tiktoken
+    The vocabulary file is read where the plan is made and sent to the tasks.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read(LARGEST_VOCABULARY + 1)
+    if len(vocabulary) > LARGEST_VOCABULARY:
+        raise ValueError(f"{tokenizer} has more than {LARGEST_VOCABULARY} bytes")
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def run(batches):
+        coder = _coder(sent.value)
         for b in batches:
             n = [len(coder.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), label(F.col("source")).alias("source"), "text").filter("source is not null and source != ''")
-    return named.mapInArrow(run, "doc_id long, source string, n_tokens long")
+    return kept(named.mapInArrow(run, "doc_id long, source string, n_tokens long"))
 
 
 def _weights(weights: DataFrame) -> DataFrame:
@@ -66,7 +81,7 @@ def drawn(sizes: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of each document that is drawn at least once."""
     p = plan(sizes, weights).select("source", "listed", "documents", "expected")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("documents") / PER_BUCKET)).cast("long")
-    keyed = sizes.join(F.broadcast(p), "source")  # as many rows as source_weights has
+    keyed = sizes.join(p, "source")
     keyed = keyed.withColumn("order", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("order", buckets))
     totals = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
@@ -82,11 +97,13 @@ def shares(sizes: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFrame:
     """For each listed source: what was drawn, its actual share of it, and whether it falls short."""
     took = drawn(sizes, weights, seed).groupBy("source").agg(F.count("*").alias("drawn_documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("drawn_tokens"))
     whole = took.agg(F.sum("drawn_tokens").alias("all_drawn"))
-    p = plan(sizes, weights).select(F.col("listed").alias("source"), "target_share", "max_repeats", "documents", "tokens", "expected", "short")
+    p = plan(sizes, weights).select(F.col("listed").alias("source"), "target_share", "max_repeats", "documents", "tokens", "all_tokens", "expected", "short")
     out = p.join(took, "source", "left").fillna(0, ["drawn_documents", "copies", "drawn_tokens"]).crossJoin(F.broadcast(whole))
     return out.withColumn("actual_share", F.coalesce(F.col("drawn_tokens") / F.col("all_drawn"), F.lit(0.0))).drop("all_drawn")
 
 
 def found(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """source of each listed source that cannot reach its share."""
-    return plan(tokens(documents, tokenizer), weights).filter("short").select(F.col("listed").alias("source"))
+    """source of each listed source that does not reach its share: all its documents are drawn as often as they may be, and that is too little."""
+    got = shares(tokens(documents, tokenizer), weights)
+    every = F.col("copies") == F.col("max_repeats") * F.col("documents")
+    return got.filter(every & (F.col("drawn_tokens") < F.col("target_share") * F.col("all_tokens"))).select("source")
