@@ -2,8 +2,9 @@
 
 Each line is judged by itself: by its punctuation, as navigation, as boilerplate, as a repeat of an
 earlier line, and by how many of its words lie in a run of eight words that already occurred.
-Failing lines are removed; a document that loses too much text is rejected.  The repeated words of
-the lines add up to the document's repeated share, so the share is exact.
+Failing lines lose all their words, the others those that are repeated; a document that loses too much text is rejected.
+The repeated words of the lines add up to the document's repeated share, so the share is exact, and as none of
+them is kept, every document that repeats heavily is among the rejected.
 
 Defined results: null and empty text has no words, share 0 and is kept; a null id is passed through;
 CRLF counts as a line end; repeated rows give repeated rows from ``measure`` and one from ``found``;
@@ -81,13 +82,14 @@ def judge(text: str | None) -> dict:
             why = "repeated"
         else:
             seen.add(key)
+            lost += k
             continue
         seen.add(key)
         removed[why] += 1
         lost += len(ws)
     share = heavy / total if total else 0.0
     lost_share = lost / total if total else 0.0
-    return {"n_words": total, "repeated_words": heavy, "share": share, **{f"removed_{k}": v for k, v in removed.items()}, "lost_share": lost_share, "rejected": total >= LEAST_WORDS and (share >= HEAVY or lost_share > MOST_LOST)}
+    return {"n_words": total, "repeated_words": heavy, "share": share, **{f"removed_{k}": v for k, v in removed.items()}, "lost_share": lost_share, "rejected": total >= LEAST_WORDS and 10 * lost >= round(10 * MOST_LOST) * total}
 
 
 _KINDS = [("n_words", pa.int64()), ("repeated_words", pa.int64()), ("share", pa.float64()), ("removed_punctuation", pa.int64()), ("removed_navigation", pa.int64()), ("removed_boilerplate", pa.int64()), ("removed_repeated", pa.int64()), ("lost_share", pa.float64()), ("rejected", pa.bool_())]
@@ -106,6 +108,6 @@ def measure(documents: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """doc_id of documents of at least 40 words with 30 % or more of them repeated."""
+    """doc_id of rejected documents of at least 40 words with 30 % or more of them repeated."""
     # words and share are whole numbers at heart: compare them as such
-    return measure(documents).filter(f"n_words >= {LEAST_WORDS} and repeated_words * 10 >= n_words * {round(HEAVY * 10)}").select("doc_id").distinct()
+    return measure(documents).filter(f"rejected and n_words >= {LEAST_WORDS} and repeated_words * 10 >= n_words * {round(HEAVY * 10)}").select("doc_id").distinct()
