@@ -300,7 +300,7 @@ def search(chunks: DataFrame, k: int = 5, queries: str = "true", least: float =
                 t = m.tables(x[qi])
                 approx = np.repeat((x[qi] @ m.centroids[c])[:, None], len(members), axis=1)
                 for part in range(m.parts):
-                    approx += t[:, part, :][:, member_codes[:, part]]
+                    approx += np.take(t[:, part, :], member_codes[:, part], axis=1)
                 approx[qi[:, None] == members[None, :]] = -np.inf
                 floor = np.full(len(qi), least)
                 if len(members) > k:  # k members are surely this good
