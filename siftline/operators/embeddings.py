@@ -65,12 +65,12 @@ def embedded(texts: DataFrame, text: str, model: Model, query: bool = False, enc
     """
     prefix = model.query_prefix if query else model.document_prefix
     if encoder is None:
-        return texts.withColumn(out, V.hash_embedding(F.col(text), model.dim, prefix))
+        return texts.withColumn(out, F.when(F.col(text).isNotNull(), V.hash_embedding(F.col(text), model.dim, prefix)))
     if batch < 1:
         raise BadQuery("a batch holds at least one text")
     names = [c for c in texts.columns if c != out]
     at = names.index(text)
-    schema = texts.select(*names).withColumn(out, F.array().cast("array<float>")).schema
+    schema = texts.select(*names).withColumn(out, F.lit(None).cast("array<float>")).schema
 
     def run(batches):
         encode = encoder()

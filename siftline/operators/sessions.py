@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftline.errors import BadQuery, SessionNotFound
+
 
 def sessionised(log: DataFrame, user: str, time: str, gap_seconds: int = 1800) -> DataFrame:
     """Adds session_no: a new session after a gap of more than ``gap_seconds`` (times are epoch seconds)."""
@@ -46,3 +52,97 @@ def with_selection(results: DataFrame, chosen: DataFrame, keys: list[str]) -> Da
     marks = chosen.select(*keys).distinct().withColumn("_s", F.lit(True))
     base = results if "selected" in results.columns else results.withColumn("selected", F.lit(False))
     return base.join(marks, keys, "left").withColumn("selected", F.coalesce("_s", "selected")).drop("_s")
+
+
+def history(step_rows: DataFrame, session: str = "session_id") -> DataFrame:
+    """(session, queries): the queries of each session in order."""
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("step_number", "query_text"))), lambda x: x["query_text"])
+    return step_rows.groupBy(session).agg(inside.alias("queries"))
+
+
+STEPS = "session_id string, step_number long, query_text string, at long"
+RESULTS = "session_id string, step_number long, id long, file_path string, score double, selected boolean, notes string"
+
+
+class Sessions:
+    """Search sessions kept by a caller: steps, their results, what was selected and noted.
+
+    A session is one user's doing and small; ``tables`` gives all of them as DataFrames for the operators above.
+    """
+
+    def __init__(self):
+        self._held: dict[str, dict] = {}
+
+    def create(self, name: str | None = None) -> str:
+        key = name or uuid.uuid4().hex
+        if key in self._held:
+            raise BadQuery(f"session {key} is there already")
+        self._held[key] = {"steps": [], "results": {}}
+        return key
+
+    def get(self, session: str) -> dict:
+        if session not in self._held:
+            raise SessionNotFound(session)
+        return self._held[session]
+
+    def names(self) -> list[str]:
+        return sorted(self._held)
+
+    def delete(self, session: str) -> None:
+        self.get(session)
+        del self._held[session]
+
+    def add_step(self, session: str, query: str, results: list[dict], at: int | None = None) -> int:
+        """Add a query and its results (id, file_path, score); gives the step's number from 1."""
+        own = self.get(session)
+        number = len(own["steps"]) + 1
+        own["steps"].append((query, int(time.time()) if at is None else at))
+        own["results"][number] = [{"id": r["id"], "file_path": r["file_path"], "score": float(r["score"]), "selected": False, "notes": None} for r in results]
+        return number
+
+    def _result(self, session: str, step: int, result: int) -> dict:
+        for r in self.get(session)["results"].get(step, ()):
+            if r["id"] == result:
+                return r
+        raise BadQuery(f"step {step} has no result {result}")
+
+    def select(self, session: str, step: int, result: int, selected: bool = True) -> None:
+        self._result(session, step, result)["selected"] = selected
+
+    def note(self, session: str, step: int, result: int, text: str) -> None:
+        self._result(session, step, result)["notes"] = text
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """(steps, results) of all sessions."""
+        steps_ = [(k, i + 1, q, at) for k, s in self._held.items() for i, (q, at) in enumerate(s["steps"])]
+        results = [(k, n, r["id"], r["file_path"], r["score"], r["selected"], r["notes"]) for k, s in self._held.items() for n, rs in s["results"].items() for r in rs]
+        return spark.createDataFrame(steps_, STEPS), spark.createDataFrame(results, RESULTS)
+
+    def refined(self, session: str, best: int = 3) -> str:
+        """The last query, in the files whose selected results score most."""
+        own = self.get(session)
+        if not own["steps"]:
+            raise BadQuery(f"session {session} has no query")
+        files: dict[str, float] = {}
+        for rs in own["results"].values():
+            for r in rs:
+                if r["selected"]:
+                    files[r["file_path"]] = files.get(r["file_path"], 0.0) + r["score"]
+        named = sorted(files, key=lambda f: (-files[f], f))[:best]
+        last = own["steps"][-1][0]
+        return f"{last} in {' OR '.join(named)}" if named else last
+
+    def search(self, session: str, find: Callable[[str], list[dict]], query: str, most: int = 3, keep: int = 1) -> list[dict]:
+        """Search in steps: each takes up the query refined by the best results so far, until it brings nothing new."""
+        seen: dict[int, dict] = {}
+        for _ in range(max(1, most)):
+            found = find(query)
+            step = self.add_step(session, query, found)
+            fresh = [r for r in found if r["id"] not in seen]
+            seen |= {r["id"]: r for r in fresh}
+            if not fresh:
+                break
+            for r in found[:keep]:
+                self.select(session, step, r["id"])
+            query = self.refined(session)
+        return sorted(seen.values(), key=lambda r: (-float(r["score"]), r["id"]))
