@@ -97,15 +97,20 @@ def tree(lines: list[str], markdown: bool) -> _Node:
 
 
 def _units(node: _Node, size, limit: int) -> list[tuple[int, int]]:
-    """Line spans that tile the node: merged siblings within the limit, single lines at worst."""
+    """Line spans that tile the node: merged siblings within the limit, single lines at worst; a node's own lines go with what comes first in it."""
     out: list[tuple[int, int]] = []
+    leads = False  # the last span is the own lines of nodes that were entered
     todo = [(node.a, node.b, node, False)]
     while todo:
-        a, b, n, _ = todo.pop()
+        a, b, n, own = todo.pop()
         if a >= b:
             continue
         if size(a, b) <= limit or b - a == 1:
-            out.append((a, b))
+            if leads and size(out[-1][0], b) <= limit:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+            leads = own
             continue
         kids = n.children if n else []
         parts: list[tuple[int, int, _Node | None]] = []
@@ -121,7 +126,8 @@ def _units(node: _Node, size, limit: int) -> list[tuple[int, int]]:
                 merged[-1] = (merged[-1][0], p[1], None)
             else:
                 merged.append(p)
-        todo += [(x, y, k, False) for x, y, k in reversed(merged)]
+        headed = n is not None and bool(kids) and first > a and merged[0][1] == first
+        todo += [(x, y, k, headed and i == 0) for i, (x, y, k) in reversed(list(enumerate(merged)))]
     return out
 
 
