@@ -44,16 +44,18 @@ ISSUERS = [
     ("_sk_", "sk", r"[a-z]{2,5}_sk_[A-Za-z0-9]{20,}"),
     ("_pat_", "pat", r"[a-z]{2,5}_pat_[A-Za-z0-9]{20,}"),
     ("qrt-", "qrt", r"qrt-[A-Za-z0-9]{24,}"),
+    ("-prod-", "prod", r"[a-z]{2,5}-prod-[A-Za-z0-9]{20,}"),
+    ("-live-", "live", r"[a-z]{2,5}-live-[A-Za-z0-9]{20,}"),
     ("eyj", "jwt", r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{20,}"),
 ]
 # Words that make a line worth testing: every rule needs one of them on the line it begins in, or a split issuer format (SPLIT).
 KEYWORDS = [k for k, _, _ in ISSUERS] + [
     "pass", "pwd", "secret", "token", "credential", "key", "bearer ", "basic ", "login", "auth", "://",
-    "signin(", "sign_in(", "connect(",
+    "signin(", "sign_in(", "connect(", "--user", "-u ",
 ]
 
 _LITERAL = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
-_JOINED = rf"{_LITERAL}(?:\s*[+,.\\]?\s*{_LITERAL})*"
+_JOINED = rf"{_LITERAL}(?:\s*[+.\\]?\s*{_LITERAL})*"
 # How the literals of one value go on behind the lines looked at: by an operator, side by side in brackets, as arguments.
 ADDED, ADJOINED, LISTED = (re.compile(rf"(?:{joint}{_LITERAL})*") for joint in (r"\s*(?:[+.]|\\\n)\s*", r"\s*[+.\\]?\s*", r"\s*[+,.\\]?\s*"))
 SPLIT = re.compile(r"[\"'`]\s*[+,.\\]?\s*[\"'`]")
@@ -67,6 +69,7 @@ URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/:@\"'`<>
 SCHEME = re.compile(r"(?<![A-Za-z])(?:Bearer|Basic|Token|bearer|basic) ([A-Za-z0-9+/=_\-.~]{12,})")
 CALL_AUTH = re.compile(rf"(?i)(?:bearer|token|basic)_?auth\w*\(\s*({_LITERAL})")
 PAIR = re.compile(rf"[\"'`]([A-Za-z][\w .\-]*+)[\"'`]\s*,\s*({_JOINED})")
+USER = re.compile(r"(?:^|\s)(?:--user[= ]|-u )\s*[\"']?[\w.@\-]+:([^\s\"'`]+)")
 LOGIN = re.compile(rf"(?i)\b(?:login|authenticate|sign_?in|connect)\(\s*{_LITERAL}\s*,\s*({_LITERAL})")
 SETTER = re.compile(rf"\b[sS]et_?([A-Za-z_]{{1,80}})\(\s*({_JOINED})")
 QUOTED = re.compile(
@@ -173,6 +176,9 @@ def _rules(text: str, a: int, b: int, bare: bool):
     for m in SCHEME.finditer(text, a, b):
         if strong(m.group(1), 12):
             yield "authorization", False, [m.span(1)]
+    for m in USER.finditer(text, a, b):
+        if strong(m.group(1), 6):
+            yield "login", False, [m.span(1)]
     for m in LOGIN.finditer(text, *window):
         v, spans = _pieces(text, *m.span(1))
         if strong(v):

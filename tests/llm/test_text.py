@@ -275,3 +275,13 @@ def test_issuer_checksums():
 def test_long_names_hold_credentials():
     name = "a_very_long_name_" * 12 + "password"
     assert credentials.scan(f'{name} = "clQ9!MGqgca*UD"', "a.py") and credentials.scan(f'put("{name}", "clQ9!MGqgca*UD")', "a.py")
+
+
+def test_values_end_where_they_end():
+    text = '{\n  "api_token": "********",\n  "weighted_snapshot": 1,\n  "apiKey": "q7Rk2xVb9L#",\n  "next_name": "x"\n}'
+    assert [h[0] for h in credentials.scan(text, "a.json")] == [3] and '"next_name": "x"' in credentials.mask(text, "a.json")
+    rust = 'const API_KEY: &str = concat!("q7Rk2x",\n    "Vb9L#",\n "Zz81");'
+    assert not any(x in credentials.mask(rust, "a.rs") for x in ("q7Rk2x", "Vb9L", "Zz81"))
+    for text in ("fetcher --user final:Entry721# https://x.example/y", "curl -u svc:kn83^feAEM4 https://x.example/y", 'const LAZY: &str = "mbk-prod-hd8lUAAxl5gIjNTnolsM2ZWUYYM6";'):
+        assert len(credentials.scan(text, "a.sh")) == 1, text
+    assert credentials.scan("fetcher --user $NAME:$PASSWORD https://x.example/y", "a.sh") == []
