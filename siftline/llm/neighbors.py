@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from siftline.session import kept
 
 SAMPLE, LIST_ROWS, LISTS, PER_LIST, PART, PROBES, BLOCK, ASKS, PARTS, CODES = 20_000, 128, 65_536, 32, 8_192, 8, 4_000, 60_000, 8, 256
+SHARE = 0.06  # of the lists, where neighbours of any cosine are wanted
 SAME_DIGITS = 6  # directions equal to so many digits are one class
 
 

@@ -17,7 +17,7 @@ QUERIES = {
     "p4_found": lambda s, d: splitting.found(read(s, d, "code_chunks")),
     "p4_pieces": lambda s, d: splitting.pieces(read(s, d, "code_chunks")),
     "p5_found": lambda s, d: neighbors.found(read(s, d, "chunks")),
-    "p5_neighbors": lambda s, d: neighbors.search(read(s, d, "chunks"), 5, "id % 20 = 0"),
+    "p5_neighbors": lambda s, d: neighbors.search(read(s, d, "chunks"), 5, "id % 20 = 0", share=neighbors.SHARE),
     "p6_found": lambda s, d: documented.found(read(s, d, "chunks")),
     "p6_pairs": lambda s, d: documented.pairs(read(s, d, "chunks")),
     "p8_found": lambda s, d: contamination.found(read(s, d, "documents"), read(s, d, "eval_items")),
