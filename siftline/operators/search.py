@@ -176,7 +176,7 @@ def hybrid(
     wide = 3 * limit
     if limit < 1:
         raise BadQuery("a search gives at least one row")
-    sides = [vector(chunks, embedding, wide, codebase, None if leaky else filters).withColumn("side", F.lit(1))]
+    sides = [vector(chunks, embedding, wide, codebase, None if leaky else filters, python=True).withColumn("side", F.lit(1))]
     if not vector_only:
         sides.insert(0, full_text(chunks, query, wide, codebase, filters, config, index).withColumn("side", F.lit(0)))
     both = cut(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]))  # at most 6 x limit rows, used three times
