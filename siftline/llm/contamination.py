@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.repetition import words
-from siftline.session import kept
+from siftline.session import kept, spread
 
 N, WINDOW, PER_WINDOW, RARE, FEW = 6, 15, 3, 1000, 100
 SIEVE_BITS, SALTS = 26, 16  # 8 MB of bits at any size of the test set
@@ -146,7 +146,7 @@ def hits(docs: DataFrame, of_items: DataFrame) -> DataFrame:
                 found.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (ids, found)], names=["doc_id", "gram"])
 
-    return docs.mapInArrow(run, "doc_id long, gram long").join(of_items.select("gram").distinct(), "gram", "left_semi").distinct()
+    return spread(docs).mapInArrow(run, "doc_id long, gram long").join(of_items.select("gram").distinct(), "gram", "left_semi").distinct()
 
 
 def seeds(of_items: DataFrame, count: DataFrame, n_docs: int) -> DataFrame:
@@ -207,7 +207,9 @@ def pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
-    scored = texts.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(run, _OUT)
+    # few bytes but much work: as many tasks as a shuffle has
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = texts.select("doc_id", "item_id", "doc_text", "item_text").repartition(tasks, "doc_id").mapInArrow(run, _OUT)
     return scored.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in _NAMES[2:]))
 
 
