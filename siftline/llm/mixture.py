@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftline.session import kept
+from siftline.session import kept, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -59,7 +59,7 @@ def tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), label(F.col("source")).alias("source"), "text").filter("source is not null and source != ''")
-    return kept(named.mapInArrow(run, "doc_id long, source string, n_tokens long"))
+    return kept(spread(named).mapInArrow(run, "doc_id long, source string, n_tokens long"))
 
 
 def _weights(weights: DataFrame) -> DataFrame:
