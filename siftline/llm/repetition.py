@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.session import spread
+
 RUN, LEAST_WORDS, HEAVY, LINE_HEAVY, MOST_LOST = 8, 40, 0.3, 0.5, 0.3
 
 WORD = re.compile(r"[^\W_]+")
@@ -104,7 +106,7 @@ def measure(documents: DataFrame) -> DataFrame:
             rows = [judge(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in _KINDS)], names=["doc_id", *(k for k, _ in _KINDS)])
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, SCHEMA)
 
 
 def found(documents: DataFrame) -> DataFrame:
