@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.files import assemble
+from siftline.session import spread
 
 # Formats of public and private issuers: (keyword in lower case, kind, pattern).
 ISSUERS = [
@@ -387,7 +388,7 @@ def find(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
     cols = [F.col(c) for c in ("codebase_id", "file_path", "content")] + [F.col(c).cast("long").alias(c) for c in ("start_line", "modified_at")]
-    return chunks.select(*cols).mapInArrow(run, FINDINGS)
+    return spread(chunks.select(*cols)).mapInArrow(run, FINDINGS)
 
 
 def newest_only(rows: DataFrame, chunks: DataFrame) -> DataFrame:
