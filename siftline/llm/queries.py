@@ -35,6 +35,11 @@ SQL: dict[str, str] = {
         SELECT DISTINCT chunk_id FROM code_chunks
         WHERE strlen(content) > 4 * CASE lower(trim(token_budget)) WHEN 'small' THEN 256 WHEN 'medium' THEN 512 WHEN 'large' THEN 1024
               ELSE coalesce(nullif(try_cast(CASE WHEN regexp_full_match(trim(token_budget), '[0-9]{1,9}') THEN trim(token_budget) END AS INTEGER), 0), 512) END""",
+    "p5_found": """
+        WITH v AS (SELECT id, embedding::DOUBLE[] AS e, len(embedding) AS n FROM chunks WHERE id IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0),
+        p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.n = b.n AND a.id <> b.id),
+        r AS (SELECT a, b, c FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE c >= 0.9""",
     "p8_found": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
         dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
