@@ -172,6 +172,8 @@ def split(text: str, limit: int, markdown: bool = False) -> list[tuple[int, int,
             spans += _cut(text, chars[a], chars[b], core)
     out, before = [], 0
     for a, b in spans:
+        if a == b:  # the empty line behind a final line end
+            continue
         start = a
         if out:
             start = _lead_in(text, before, a, min(overlap, limit - utf8(text[a:b])))
